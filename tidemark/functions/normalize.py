@@ -5,14 +5,14 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: Spellings of a true and of a false flag, in lower case.
 TRUE_WORDS = ("1", "1.0", "t", "true", "y", "yes", "是")
 FALSE_WORDS = ("0", "0.0", "f", "false", "n", "no", "否")
 
-#: First digits of a bare code and the exchange they stand for; all others are SZ.
-PREFIX_EXCHANGE = {"5": "SH", "6": "SH", "9": "SH", "4": "BJ", "8": "BJ"}
+#: First digits of a bare code and the exchange they stand for.
+EXCHANGE_OF_FIRST_DIGIT = {"569": "SH", "48": "BJ", "01237": "SZ"}
 
 _EDGE = r"^[\s\p{Z}﻿]+|[\s\p{Z}﻿]+$"
 
@@ -27,11 +27,11 @@ def squeeze(c: Column | str) -> Column:
 
 
 def day(c: Column | str) -> Column:
-    """DATE of ``YYYY-MM-DD``, ``YYYY/MM/DD``, ``YYYYMMDD`` or any of these with a time; else null."""
+    """DATE of ``YYYY-MM-DD``, ``YYYY/MM/DD``, ``YYYY.MM.DD``, ``YYYYMMDD`` or any of these with a time; else null."""
     c = _col(c)
-    tidy = F.regexp_replace(F.regexp_replace(squeeze(c), "[/.]", "-"), r"^(\d{4})(\d{2})(\d{2})(?:-0+)?$", "$1-$2-$3")
-    tidy = F.when(tidy.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?:$|[ T])"), tidy)
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date")).otherwise(tidy.try_cast("date"))
+    dashed = F.regexp_replace(squeeze(c), r"^(\d{4})[-/.]?(\d{1,2})[-/.]?(\d{1,2})(?:[ T].*|\.0+)?$", "$1-$2-$3")
+    plain = F.when(F.length(c) == 10, c.try_cast("date"))
+    return F.coalesce(plain, F.when(F.length(c) >= 8, dashed.try_cast("date")))
 
 
 def day_number(c: Column | str) -> Column:
@@ -51,23 +51,14 @@ def clock(c: Column | str) -> Column:
     (``93100000.0``), and ``HH:MM[:SS[.mmm]]``.
     """
     c = _col(c)
-    tidy = F.regexp_replace(squeeze(c), r"^(\d+)\.0*$", "$1")
-    colon = F.regexp_extract(tidy, r"^(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?$", 1)
-    parts = [F.regexp_extract(tidy, r"^(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?$", i) for i in (2, 3, 4)]
-    from_colon = F.concat(
-        F.lpad(colon, 2, "0"), parts[0], F.rpad(parts[1], 2, "0"), F.rpad(F.substring(parts[2], 1, 3), 3, "0")
-    )
-    digits = (
-        F.when(tidy.rlike(r"^\d{3,4}$"), F.rpad(F.lpad(tidy, 4, "0"), 9, "0"))
-        .when(tidy.rlike(r"^\d{5,6}$"), F.rpad(F.lpad(tidy, 6, "0"), 9, "0"))
-        .when(tidy.rlike(r"^\d{7,9}$"), F.lpad(tidy, 9, "0"))
-        .when(colon != "", from_colon)
-    )
-    nine = F.when(c.rlike(r"^\d{9}$"), c).otherwise(digits)
-    part = lambda at, n: F.substring(nine, at, n).cast("int")
-    hours, minutes, seconds = part(1, 2), part(3, 2), part(5, 2)
-    millis = ((hours * 60 + minutes) * 60 + seconds) * 1000 + part(7, 3)
-    return F.when((hours < 24) & (minutes < 60) & (seconds < 60), millis)
+    plain = F.when(F.length(c) == 9, c.try_cast("int"))
+    digits = F.regexp_replace(F.regexp_replace(c, r"\.0*[\s\p{Z}]*$", ""), r"[\s\p{Z}:.]", "")
+    scale = F.element_at(F.array(*[F.lit(x) for x in (None, None, 100000, 100000, 1000, 1000, 1, 1, 1)]), F.length(digits))
+    other = F.when(F.length(digits).between(3, 9), digits.try_cast("int") * scale)
+    stamp = F.coalesce(plain, other)  # HHMMSSmmm as one number
+    at = lambda unit: F.floor(stamp / unit).cast("int") % 100
+    fine = (stamp >= 0) & (stamp < 240000000) & (at(100000) < 60) & (at(1000) < 60)
+    return F.when(fine, stamp - at(10000000) * 6400000 - at(100000) * 40000).cast("int")
 
 
 def session_ordinal(millis: Column) -> Column:
@@ -79,18 +70,11 @@ def session_ordinal(millis: Column) -> Column:
 def symbol(c: Column | str) -> Column:
     """``NNNNNN.EX`` in upper case, from ``NNNNNN.ex``, ``ex.NNNNNN``, ``EXNNNNNN`` or a bare code; else the trimmed text."""
     c = _col(c)
-    tidy = F.upper(squeeze(c))
-    number = F.regexp_extract(tidy, r"^(?:[A-Z]{2}\.?)?(\d{6})(?:\.?[A-Z]{2})?$", 1)
-    named = F.regexp_extract(tidy, r"^(?:([A-Z]{2})\.?\d{6}|\d{6}\.?([A-Z]{2}))$", 1)
-    named = F.concat(named, F.regexp_extract(tidy, r"^(?:([A-Z]{2})\.?\d{6}|\d{6}\.?([A-Z]{2}))$", 2))
-    first = F.substring(number, 1, 1)
-    guess = F.lit("SZ")
-    for digit, exchange in PREFIX_EXCHANGE.items():
-        guess = F.when(first == digit, F.lit(exchange)).otherwise(guess)
-    other = F.when(number == "", F.nullif(tidy, F.lit(""))).otherwise(
-        F.concat_ws(".", number, F.when(named != "", named).otherwise(guess))
-    )
-    return F.when(c.rlike(r"^\d{6}\.[A-Z]{2}$"), c).otherwise(other)
+    tidy = F.upper(F.regexp_replace(c, r"[\s\p{Z}.]", ""))
+    tidy = F.regexp_replace(F.regexp_replace(tidy, r"^([A-Z]{2})(\d{6})$", "$2$1"), r"^(\d{6})([A-Z]{2})$", "$1.$2")
+    for digits, exchange in EXCHANGE_OF_FIRST_DIGIT.items():
+        tidy = F.regexp_replace(tidy, rf"^([{digits}]\d{{5}})$", f"$1.{exchange}")
+    return F.when(c.rlike(r"^\d{6}\.[A-Z]{2}$"), c).otherwise(F.nullif(tidy, F.lit("")))
 
 
 def flag(c: Column | str) -> Column:
@@ -111,7 +95,7 @@ def finite_positive(c: Column | str) -> Column:
     return F.when(value > 0, value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_text(texts: pd.Series) -> pd.Series:
     """NFKC, without any white space, in upper case; blank becomes null. Python, as Spark has no NFKC."""
     return texts.map(
