@@ -9,6 +9,7 @@ from tidemark.llm.consensus import representatives
 from tidemark.llm.encode import encode_corpus
 from tidemark.llm.pack import pack
 from tidemark.llm.topn import top_n
+from tidemark.llm.truncation import rates, truncated
 from tidemark.operators.counting import counting
 from tidemark.sources.tables import table
 
@@ -95,6 +96,24 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
+# 10. Truncation --------------------------------------------------------------------------------------------------
+
+
+def cut_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return truncated(table(spark, folder, "documents"), "doc_id", "text", "source")
+
+
+@query
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_documents(spark, folder).where("cut").select("doc_id")
+
+
+@query
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return rates(cut_documents(spark, folder), "source")
+
+
 # SQL -------------------------------------------------------------------------------------------------------------
 
 _REPORTS = r"""
