@@ -114,10 +114,10 @@ def node_counts(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def vocabulary(texts: DataFrame, text: str, closings: frozenset[str] = frozenset(), depths: tuple[int, ...] = DEPTHS, chars: int = 2_000_000, most: int = 2_000_000) -> DataFrame:
-    """(depth, node, on, ends): every node of the corpus trie with its counts, over whole texts without their closing lines.
+    """(node, on, ends): every node of the corpus trie with its counts, over whole texts without their closing lines.
 
     Counted in blocks of about ``chars`` characters within each task and merged there until ``most`` nodes are held, so
-    that what is shuffled is nodes, not places; sums by node follow.
+    that what is shuffled is nodes, not places; sums by node follow. A node's hash tells its depth as well.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +131,7 @@ def vocabulary(texts: DataFrame, text: str, closings: frozenset[str] = frozenset
         def out(k: int) -> pa.RecordBatch:
             nodes, on, ends = merge(k)
             held[k] = []
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(nodes), k, np.int32)), pa.array(nodes), pa.array(on), pa.array(ends)], ["depth", "node", "on", "ends"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(on), pa.array(ends)], ["node", "on", "ends"])
 
         def add(block: list[str]) -> Iterator[pa.RecordBatch]:
             for k in depths:
@@ -159,8 +157,8 @@ def vocabulary(texts: DataFrame, text: str, closings: frozenset[str] = frozenset
             if held[k]:
                 yield out(k)
 
-    parts = texts.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(text).mapInArrow(count, "depth int, node bigint, on bigint, ends bigint")
-    return parts.groupBy("depth", "node").agg(F.sum("on").alias("on"), F.sum("ends").alias("ends"))
+    parts = texts.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(text).mapInArrow(count, "node bigint, on bigint, ends bigint")
+    return parts.groupBy("node").agg(F.sum("on").alias("on"), F.sum("ends").alias("ends"))
 
 
 # Length evidence -------------------------------------------------------------------------------------------------
@@ -230,7 +228,8 @@ def truncated(texts: DataFrame, key: str, text: str, source: str, closing_share:
     known = vocabulary(filled, "_text", closings)
     out = tails
     for k in DEPTHS:
-        right = known.where(F.col("depth") == k).select(F.col("node").alias(f"node{k}"), F.struct("on", "ends").alias(f"seen{k}"))
+        # The same plan for each depth, so that the vocabulary is counted once and its exchange used again.
+        right = known.select(F.col("node").alias(f"node{k}"), F.struct("on", "ends").alias(f"seen{k}"))
         out = out.join(right, f"node{k}", "left")
     deepest = F.coalesce(*[F.when(F.col(f"seen{k}.on") + F.col(f"seen{k}.ends") >= support, F.col(f"seen{k}")) for k in DEPTHS])
     for measure in ("chars", "octets"):
