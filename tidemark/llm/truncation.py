@@ -106,13 +106,20 @@ def node_counts(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     stop[:-1] |= dot[:-1] & np.isin(codes[1:], code(" \n" + _END))
     nodes = _nodes(codes[:-1], k)  # node i is before place i + k
     after = codes[k:] != code(_END)[0]
-    ended = stop[k:][after]
-    keys, inverse = np.unique(nodes[after], return_inverse=True)
-    total = np.bincount(inverse, minlength=len(keys))
-    ends = np.bincount(inverse, weights=ended, minlength=len(keys)).astype(np.int64)
+    keys, total = _counts(nodes[after])
+    ends = np.zeros(len(keys), np.int64)
+    ended, n = _counts(nodes[after & stop[k:]])
+    ends[np.searchsorted(keys, ended)] = n
     return keys, total - ends, ends
 
 
+def _counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each occurs. Sorted, as that is several times faster than numpy's inverse."""
+    ordered = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
 def vocabulary(texts: DataFrame, text: str, closings: frozenset[str] = frozenset(), depths: tuple[int, ...] = DEPTHS, chars: int = 2_000_000, most: int = 2_000_000) -> DataFrame:
     """(node, on, ends): every node of the corpus trie with its counts, over whole texts without their closing lines.
 
