@@ -13,7 +13,7 @@ def daily_totals(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def with_idle_days(totals: DataFrame, entities: DataFrame, calendar: DataFrame, entity: str, day: str, value: str) -> DataFrame:
     """``totals`` with a 0 row for every entity and calendar day that has none.
 
-    ``entities`` (entity, first, last) bounds each entity's span; ``calendar`` (day, ordinal) is one row per
+    ``entities`` (entity, first, last) bounds each entity's span, which must hold all its totals; ``calendar`` (day, ordinal) is one row per
     open day. Its array of days is a single row of at most some ten thousand integers whatever the data,
     so it is sent to all tasks, and each entity explodes only its own slice. Days outside the calendar keep
     their totals with a null ordinal.
