@@ -177,13 +177,13 @@ def usual_limits(texts: DataFrame, source: str, length: str, share: float = 0.01
 
     Works on the counts by source and length, of which a source has no more than its longest text has characters.
     """
-    counts = texts.groupBy(source, length).agg(F.count("*").alias("n")).where(F.col(length) > 0)
-    near = Window.partitionBy(source).orderBy(F.floor(F.ln(length) * 1000)).rangeBetween(-100, 100)
-    mean = (F.sum("n").over(near) - F.col("n")) / F.greatest(F.col(length) * 0.2, F.lit(1.0))
-    total = F.sum("n").over(Window.partitionBy(source))
-    return counts.select(source, length, "n", mean.alias("mean"), total.alias("total")).where(
-        (F.col("n") >= least) & (F.col("n") >= share * F.col("total")) & (F.col("n") > times * F.col("mean"))
-    ).select(source, length)
+    counts = texts.groupBy(F.col(source).alias("_s"), F.col(length).alias("_l")).agg(F.count("*").alias("_n")).where("_l > 0")
+    near = Window.partitionBy("_s").orderBy(F.floor(F.ln("_l") * 1000)).rangeBetween(-100, 100)
+    mean = (F.sum("_n").over(near) - F.col("_n")) / F.greatest(F.col("_l") * 0.2, F.lit(1.0))
+    total = F.sum("_n").over(Window.partitionBy("_s"))
+    marked = counts.select("*", mean.alias("_mean"), total.alias("_total"))
+    stands_out = (F.col("_n") >= least) & (F.col("_n") >= share * F.col("_total")) & (F.col("_n") > times * F.col("_mean"))
+    return marked.where(stands_out).select(F.col("_s").alias(source), F.col("_l").alias(length))
 
 
 def source_name(c: Column | str) -> Column:
