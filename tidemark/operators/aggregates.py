@@ -15,11 +15,11 @@ def metric_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def trimmed_mean(df: DataFrame, keys: list[str], value: str, share: float = 0.01, salts: int = 32) -> DataFrame:
+def trimmed_mean(df: DataFrame, keys: list[str], value: str, share: float = 0.01) -> DataFrame:
     """(keys, n, trimmed): the mean without the largest ceil(``share`` of n) values; null if none is left.
 
-    Per group, counts of a histogram's bins (by the value rounded to 6 digits) are summed, not rows sorted in one task: equal
-    values combine before the shuffle, and a running count over distinct values finds the cut.
+    Equal values combine before the shuffle, and a running count over a group's distinct values finds the cut; that
+    window sorts a group's distinct values in one task, spilling if it must.
     """
     bins = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     total = bins.groupBy(*keys).agg(F.sum("_c").alias("n"))
