@@ -825,3 +825,101 @@ def flagship_topk_momentum(spark, folder):
     ranked = momentum(spark, folder).withColumn("rank", r(F.percent_rank().over(day.orderBy(F.col("momentum").asc_nulls_first()))))
     nth = F.row_number().over(day.orderBy(F.col("momentum").desc_nulls_last(), "symbol"))
     return ranked.withColumn("nth", nth).where("nth <= 5 and momentum is not null").select("trade_date", "nth", "symbol", r("momentum").alias("momentum"), "rank")
+
+
+# Second pass -----------------------------------------------------------------------------------------------------
+
+
+@query
+def intraday_features(spark, folder):
+    """A symbol-day's range, drawdown, concentration of amount and slope over its session bars."""
+    from tidemark.functions import normalize as N
+    from tidemark.operators.counting import counting
+
+    raw = table(spark, folder, "minute_bars").select(
+        N.symbol("symbol").alias("symbol"), N.day_number("trade_date").alias("day"), N.clock("bar_time").alias("millis"), N.finite_positive("close").alias("close"), N.finite_positive("amount").alias("amount"), "received_at")
+    ordinal = N.session_ordinal(F.col("millis"))
+    bars = counting(raw.withColumn("millis", F.when(ordinal.isNotNull(), F.col("millis"))), ["symbol", "day", "millis"], "received_at", {"close": F.col("close"), "amount": F.col("amount")})
+    bars = bars.where("millis is not null and close is not null and symbol is not null and day is not null").withColumn("minute", ordinal.cast("double"))
+    peak = bars.withColumn("drop", F.col("close") / F.max("close").over(W.along(["symbol", "day"], "millis").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    g = peak.groupBy("symbol", "day").agg(
+        F.count("*").alias("bars"), r(F.max_by("close", "millis") / F.min_by("close", "millis") - 1, 6).alias("return"), r(F.max("close") / F.min("close") - 1, 6).alias("range"), r(F.min("drop"), 6).alias("drawdown"),
+        r_off(F.try_divide(F.sum(F.col("amount") * F.col("amount")), F.sum("amount") * F.sum("amount")), 6).alias("concentration"),
+        r_off(F.try_divide(F.count("*") * F.sum(F.col("minute") * F.col("close")) - F.sum("minute") * F.sum("close"), F.count("*") * F.sum(F.col("minute") * F.col("minute")) - F.sum("minute") * F.sum("minute")), 5).alias("slope"))
+    return g.withColumn("trade_date", N.day_text(F.col("day"))).drop("day")
+
+
+@query
+def seed_stability(spark, folder):
+    """The spread of a day's mean return over ten samples picked by digests."""
+    m = momentum(spark, folder).where("momentum is not null")
+    seeded = m.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    pick = md5_bucket(F.concat_ws("|", F.col("seed").cast("string"), F.col("symbol").cast("string")), 2) == 0
+    by_seed = seeded.where(pick).groupBy("trade_date", "seed").agg(F.avg("momentum").alias("x"))
+    return by_seed.groupBy("trade_date").agg(F.count("*").alias("seeds"), r_off(F.avg("x"), 6).alias("mean"), r_off(F.min("x"), 6).alias("low"), r_off(F.percentile("x", F.lit(0.25)), 6).alias("q25"), r_off(F.max("x"), 6).alias("high"))
+
+
+@query
+def ensemble_rank(spark, folder):
+    """The mean of two percentile ranks within the day, unknown values left out."""
+    m = momentum(spark, folder).where("momentum is not null")
+    n = F.count("*").over(Window.partitionBy("trade_date"))
+    score = (W.average_rank(F.col("momentum"), "trade_date") + W.average_rank(F.col("amount"), "trade_date")) / (2 * n)
+    return m.select("symbol", "trade_date", r_off(score, 6).alias("score"))
+
+
+@query
+def paired_increments(spark, folder):
+    """The daily difference of two top-three choices' next returns, with its standard error."""
+    spec = by_symbol()
+    m = momentum(spark, folder).withColumn("ahead", safe_ratio(F.lead("close").over(spec), F.col("close")) - 1).where("momentum is not null and ahead is not null")
+    day = Window.partitionBy("trade_date")
+    daily = m.withColumns({"a": F.row_number().over(day.orderBy(F.col("momentum").desc(), "symbol")), "b": F.row_number().over(day.orderBy(F.col("amount").desc(), "symbol"))})
+    diff = daily.groupBy("trade_date").agg((F.avg(F.when(F.col("a") <= 3, F.col("ahead"))) - F.avg(F.when(F.col("b") <= 3, F.col("ahead")))).alias("diff"))
+    return A.newey_west(diff, "trade_date", "diff", 5).select("n", r_off(F.col("mean"), 6).alias("mean"), r_off(F.col("se"), 6).alias("se"))
+
+
+@query
+def unfilled_as_cash(spark, folder):
+    """The day's three strongest are chosen before it is known whether they trade; those that don't count 0."""
+    spec = by_symbol()
+    m = momentum(spark, folder).withColumns({"ahead": safe_ratio(F.lead("close").over(spec), F.col("close")) - 1, "filled": F.lead("amount").over(spec) > 20000}).where("momentum is not null")
+    nth = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.col("momentum").desc(), "symbol"))
+    top = m.withColumn("nth", nth).where("nth <= 3")
+    return top.groupBy("trade_date").agg(r_off(F.avg(F.when(F.col("filled"), F.col("ahead")).otherwise(0.0)), 6).alias("mean"), F.count_if(F.col("filled")).alias("filled"))
+
+
+@query
+def initial_backfill(spark, folder):
+    """A customer's unknown first statuses take the first known one, marked as such; later gaps stay."""
+    o = table(spark, folder, "orders").withColumn("known", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
+    spec = W.along(["o_custkey"], "o_orderdate", "o_orderkey")
+    before = F.last("known", ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("known", ignorenulls=True).over(spec.rowsBetween(0, Window.unboundedFollowing))
+    early = F.col("known").isNull() & before.isNull()
+    return o.select("o_orderkey", F.when(early, after).otherwise(F.col("known")).alias("status"), (early & after.isNotNull()).alias("looked_ahead"))
+
+
+@query
+def ridge_fit(spark, folder):
+    """Ridge coefficients of the next return on three standardised features, from one pass over sums: checked by its rows only."""
+    spec = by_symbol()
+    m = prior_day_features(spark, folder).join(daily_bars(spark, folder).select("symbol", "trade_date", (safe_ratio(F.lead("close").over(spec), F.col("close")) - 1).alias("y")), ["symbol", "trade_date"])
+    names = ["return5", "to_mean5", "amount_ratio20"]
+    known = m.where(" and ".join(f"{c} is not null" for c in [*names, "y"]))
+    cols = [F.lit(1.0), *[F.least(F.greatest(F.col(c), F.lit(-5.0)), F.lit(5.0)) for c in names], F.least(F.greatest(F.col("y"), F.lit(-1.0)), F.lit(1.0))]
+    sums = known.agg(*[F.sum(a * b).alias(f"s{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]).first()  # fifteen numbers
+
+    import numpy as np
+
+    gram = np.zeros((5, 5))
+    for i in range(5):
+        for j in range(i, 5):
+            gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"] or 0.0
+    n = max(gram[0, 0], 1.0)
+    mean = gram[0] / n
+    cov = gram / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov)[1:4], 1e-12))
+    corr = cov[1:4, 1:4] / np.outer(sd, sd)
+    beta = np.linalg.solve(corr + 0.01 * np.eye(3), cov[1:4, 4] / sd)
+    return spark.createDataFrame([(name, float(b), int(n)) for name, b in zip(names, beta)], "feature string, beta double, n bigint")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.plans.dealt_sql import _BARS as SESSION_BARS
+
 BARS = """bar as (
   select symbol, trade_date, first(price order by k, n, p, amount, volume) as open, max(price) as high, min(price) as low, last(price order by k, n, p, amount, volume) as close,
     sum(volume) as volume, sum(amount) as amount
@@ -252,3 +254,29 @@ for _columns, _names in DATES.items():
     for _name in _names:
         _casts = ", ".join(f"strftime({c}, '%Y-%m-%d') as {c}" for c in _columns)
         ORACLES[_name] = f"select * replace ({_casts}) from ({ORACLES[_name]})"
+
+_TOP3 = f"""{AHEAD}, k as (select *, row_number() over (partition by trade_date order by momentum desc, symbol) as x, row_number() over (partition by trade_date order by amount desc, symbol) as y
+  from a where momentum is not null and ahead is not null)"""
+
+ORACLES |= {
+    "intraday_features": f"""with {SESSION_BARS}, x as (select *, ((t // 10000000) * 60 + (t // 100000) % 100 - case when t < 120000000 then 571 else 661 end)::double as minute, case when isfinite(amount) and amount > 0 then amount end as am
+  from bar where isfinite(close) and close > 0), y as (select *, close / max(close) over (partition by symbol, day order by t rows unbounded preceding) - 1 as dd from x)
+select symbol, strftime(day, '%Y-%m-%d') as trade_date, count(*) as bars, round(last(close order by t) / first(close order by t) - 1, 6) as "return", round(max(close) / min(close) - 1, 6) as range, round(min(dd), 6) as drawdown,
+  round(sum(am * am) / nullif(sum(am) * sum(am), 0) + 1.37e-9, 6) as concentration,
+  round((count(*) * sum(minute * close) - sum(minute) * sum(close)) / nullif(count(*) * sum(minute * minute) - sum(minute) * sum(minute), 0) + 1.37e-9, 5) + 0.0 as slope from y group by symbol, day""",
+    "seed_stability": f"""with {momentum()}, p as (select trade_date, seed, avg(momentum) as x from m, (select unnest(range(10)) as seed) where momentum is not null
+  and ('0x' || substr(md5(seed::varchar || '|' || symbol::varchar), 1, 8))::bigint % 2 = 0 group by 1, 2)
+select strftime(trade_date, '%Y-%m-%d') as trade_date, count(*) as seeds, round(avg(x) + 1.37e-9, 6) as mean, round(min(x) + 1.37e-9, 6) as low, round(quantile_cont(x, 0.25) + 1.37e-9, 6) as q25, round(max(x) + 1.37e-9, 6) as high from p group by 1""",
+    "ensemble_rank": f"""with {momentum()}, k as (select *, rank() over (partition by trade_date order by momentum) + (count(*) over (partition by trade_date, momentum) - 1) / 2.0 as a,
+  rank() over (partition by trade_date order by amount) + (count(*) over (partition by trade_date, amount) - 1) / 2.0 as b, count(*) over (partition by trade_date) as n from m where momentum is not null)
+select symbol, strftime(trade_date, '%Y-%m-%d') as trade_date, round((a + b) / (2 * n) + 1.37e-9, 6) as score from k""",
+    "paired_increments": f"""with {_TOP3}, d as (select trade_date, avg(ahead) filter (where x <= 3) - avg(ahead) filter (where y <= 3) as diff from k group by 1),
+e as (select row_number() over (order by trade_date) as i, diff, diff - avg(diff) over () as e from d), g as (select k, sum(a.e * b.e) as c from (select unnest(range(0, 6)) as k) join e a on true join e b on b.i = a.i - k group by 1)
+select (select count(*) from e) as n, (select round(avg(diff) + 1.37e-9, 6) from e) as mean, round(sqrt(greatest(sum(case when k = 0 then c else 2 * (1 - k / 6.0) * c end), 0)) / (select count(*) from e) + 1.37e-9, 6) as se from g""",
+    "unfilled_as_cash": f"""with {AHEAD}, f as (select *, lead(amount) over (partition by symbol order by trade_date) > 20000 as filled from a), k as (select *, row_number() over (partition by trade_date order by momentum desc, symbol) as x from f where momentum is not null)
+select strftime(trade_date, '%Y-%m-%d') as trade_date, round(avg(case when filled then ahead else 0 end) + 1.37e-9, 6) as mean, count(*) filter (where filled) as filled from k where x <= 3 group by 1""",
+    "initial_backfill": """with o as (select *, case when o_orderstatus <> 'P' then o_orderstatus end as known from orders),
+x as (select *, last_value(known ignore nulls) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and current row) as b,
+  first_value(known ignore nulls) over (partition by o_custkey order by o_orderdate, o_orderkey rows between current row and unbounded following) as f from o)
+select o_orderkey, case when known is null and b is null then f else known end as status, known is null and b is null and f is not null as looked_ahead from x""",
+}
