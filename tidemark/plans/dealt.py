@@ -11,6 +11,7 @@ from tidemark.operators.diff import differences, field_differences
 from tidemark.operators.grid import regular_grid
 from tidemark.operators.history import versions
 from tidemark.operators.rolling import daily_totals, trailing_periods
+from tidemark.session import checkpoint
 from tidemark.sources.tables import table
 
 QUERIES: dict = {}
@@ -83,12 +84,12 @@ def amounts_by_period(spark: SparkSession, folder: str, targets: DataFrame | Non
     bars = session_rows(spark, folder, "amount")
     kept = bars.withColumn("amount", F.when(F.col("millis").isNotNull() & (F.col("amount") >= 0), F.col("amount")))
     totals = daily_totals(kept, ["symbol", "day"], "amount")
-    spans = totals.select("symbol", "day")
     if targets is not None:
         # The targets' days count as rows of 0 as well, so that every target has its own row.
         totals = totals.unionByName(targets.select("symbol", "day", F.lit(0.0).alias("amount"))).groupBy("symbol", "day").agg(F.sum("amount").alias("amount"))
-        spans = totals.select("symbol", "day")
-    entities = spans.groupBy("symbol").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    # A row per symbol and day, written once: the spans and the totals would each read all bars otherwise.
+    totals = checkpoint(totals)
+    entities = totals.groupBy("symbol").agg(F.min("day").alias("first"), F.max("day").alias("last"))
     return trailing_periods(totals, entities, open_days(spark, folder), "symbol", "day", "amount")
 
 
