@@ -136,6 +136,24 @@ def test_body():
     assert plain("a 1,234.5 b\r\n\r\nc  ") == "a 0 b\nc"
 
 
+def test_body_long_ellipsis():
+    closings = frozenset({"-- sent by the desk --", "To come……"})
+    assert body("One sentence. Two sen……", closings) == ("One sentence. Two sen", True)
+    assert body("一句话。另一句……\n\n-- sent by the desk --", closings) == ("一句话。另一句", True)
+    assert body("One sentence.\nTo come……", closings) == ("One sentence.", False)
+    assert body("一句话。\n未完待续……", frozenset()) == ("一句话。", False) and body("一句话。\n（未完待续……）", frozenset()) == ("一句话。", False)
+    assert body("一句话。另一\n未完待续……", frozenset()) == ("一句话。另一", False)
+
+
+def test_truncated_long_ellipsis(spark):
+    rows, cut = corpus()
+    texts = {i: t for i, t, _ in rows}
+    marked = [i for i in sorted(cut) if texts[i] and texts[i].endswith("…")]
+    df = spark.createDataFrame([(i, t + "…" if i in marked else t, s) for i, t, s in rows], "id bigint, text string, source string")
+    got = {r.id: r.evidence for r in truncated(df, "id", "text", "source").collect()}
+    assert len(marked) > 3 and {got[i] for i in marked} == {"mark"}
+
+
 def corpus():
     rng = random.Random(9)
     animals = ["tortoise", "elephant", "crocodile", "hedgehog", "butterfly"]

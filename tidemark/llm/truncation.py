@@ -29,6 +29,7 @@ STOPS = "。.!?！？…"
 #: What stands for a number or a hexadecimal digest: it differs each time.
 _NUMBER = re.compile(r"[0-9a-f]{8,}|\d[\d,]*(?:\.\d+)?")
 _LINES = re.compile(r"[ \t　\xa0]*(?:\r\n|\r|\n)\s*")
+_CONTINUED = re.compile(r"\W*(?:未完待续|to be continued)\W*", re.IGNORECASE)
 _TRAILING_MARK = re.compile(r"\s*(?:" + "|".join(re.escape(m) for m in sorted(MARKS, key=len, reverse=True)) + r")\s*$")
 
 DEPTHS = (8, 4)
@@ -47,14 +48,15 @@ def body(text: str, closings: frozenset[str]) -> tuple[str, bool]:
     """The plain text without closing lines and marks of a cut; whether it had such a mark.
 
     Closing lines are those many texts end with (footers, signatures, "to be continued"): what matters is whether the text
-    before them is complete. A mark that is itself part of a closing line is none.
+    before them is complete. A mark that is itself part of a closing line is none; a line that only says that more follows is a
+    closing line however rare it is. The long mark "……" is the mark "…" twice.
     """
     out, marked = plain(text), False
     while out:
         head, _, line = out.rpartition("\n")
-        if line in closings:
+        if line in closings or _CONTINUED.fullmatch(line):
             out = head.rstrip()
-        elif (m := _TRAILING_MARK.search(out)) and not out.endswith("……"):
+        elif m := _TRAILING_MARK.search(out):
             out, marked = out[: m.start()].rstrip(), True
         else:
             break
