@@ -94,3 +94,18 @@ def test_scalars(spark):
 def test_shard_pruning():
     shards = [{"date_start": "2001-01-01", "date_end": "2001-01-31"}, {"date_start": None, "date_end": None}, {"date_start": "2001-03-01", "date_end": "2001-03-31"}]
     assert overlapping(shards, "2001-01-31", "2001-02-10") == shards[:2]
+
+
+@pytest.mark.parametrize("with_fresh", [False, True])
+def test_densify_snapshots(spark, with_fresh):
+    rng = random.Random(5)
+    schema, days = "k int, m string, d int", sorted(rng.sample(range(60), 35))
+    take = lambda n, span: sorted({(rng.randrange(14), rng.choice("xyz"), rng.randrange(*span)) for _ in range(n)})
+    old, fresh = take(60, (-5, 70)), take(15, (10, 40))
+    new = {d for _, _, d in fresh} if with_fresh else set()
+    rows = [x for x in old if x[2] not in new] + (fresh if with_fresh else [])
+    until = lambda k, d: min((e for j, _, e in rows if j == k and e > d), default=1000)
+    want = sorted((k, m, x) for k, m, d in rows for x in days if d <= x < until(k, d))
+    calendar = spark.createDataFrame([(d,) for d in days + days[:5]], "d int")
+    got = J.densify_snapshots(spark.createDataFrame(old, schema), calendar, "k", "m", "d", spark.createDataFrame(fresh, schema) if with_fresh else None)
+    assert sorted(tuple(r) for r in got.collect()) == want and len({k for k, _, _ in want}) > 10

@@ -1,0 +1,22 @@
+"""Queries over all keys of their tables, against brute force; their SQL covers some of the keys."""
+
+import bisect
+
+from tidemark.plans import reference
+
+
+def test_densified_snapshots_all_customers(spark, duck):
+    con, folder = duck
+    days = [d for d, in con.execute("select distinct cast(l_shipdate as date) from lineitem order by 1").fetchall()]
+    snaps = {}
+    for k, d, s in con.execute("select o_custkey, cast(o_orderdate as date), max(o_orderstatus) from orders group by 1, 2").fetchall():
+        snaps.setdefault(k, []).append((d, s))
+    want = set()
+    for k, own in snaps.items():
+        own.sort()
+        for x in days:
+            if at := bisect.bisect_right([d for d, _ in own], x):
+                want.add((k, own[at - 1][1], str(x)))
+    got = [(r.o_custkey, r.status, str(r.day)) for r in reference.QUERIES["densified_snapshots"](spark, folder).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert len({k for k, _, _ in got}) > 10

@@ -99,14 +99,19 @@ def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return left.join(sure.where("_n >= 1").drop("_n"), keys, how)
 
 
-def densify_snapshots(snapshots: DataFrame, calendar: DataFrame, key: str, member: str, day: str) -> DataFrame:
+def densify_snapshots(snapshots: DataFrame, calendar: DataFrame, key: str, member: str, day: str, fresh: DataFrame | None = None) -> DataFrame:
     """Membership on each open day from its snapshot to the day before the next one of the same key; the last is open-ended.
 
-    The calendar is one row of days, fixed in size; each snapshot takes its own slice.
+    ``fresh`` has the same columns; a day that it has replaces that day's snapshots of all keys. The calendar is one row of
+    days, fixed in size; where a day stands in it is looked up once per different day, and each snapshot takes its own slice.
     """
-    starts = snapshots.select(key, day).distinct()
-    spans = starts.withColumn("_until", F.lead(day).over(Window.partitionBy(key).orderBy(day)))
+    if fresh is not None:
+        kept = snapshots.join(fresh.select(day).distinct(), day, "left_anti")
+        snapshots = kept.select(key, member, day).unionByName(fresh.select(key, member, day))
     days = calendar.agg(F.sort_array(F.collect_set(day)).alias("_days"))
+    starts = snapshots.select(key, day).distinct()
+    places = starts.select(day).distinct().join(F.broadcast(days)).select(day, F.size(F.filter("_days", lambda x: x < F.col(day))).alias("_at"))
+    spans = starts.join(places, day).withColumn("_to", F.lead("_at").over(Window.partitionBy(key).orderBy(day)))
     held = snapshots.join(spans, [key, day]).join(F.broadcast(days))
-    inside = F.filter("_days", lambda x: (x >= F.col(day)) & (F.col("_until").isNull() | (x < F.col("_until"))))
+    inside = F.slice("_days", F.col("_at") + 1, F.coalesce("_to", F.size("_days")) - F.col("_at"))
     return held.select(key, member, F.explode(inside).alias(day))
