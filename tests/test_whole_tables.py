@@ -1,6 +1,7 @@
 """Queries over all keys of their tables, against brute force; their SQL covers some of the keys."""
 
 import bisect
+import math
 
 from tidemark.plans import reference
 
@@ -20,3 +21,22 @@ def test_densified_snapshots_all_customers(spark, duck):
     got = [(r.o_custkey, r.status, str(r.day)) for r in reference.QUERIES["densified_snapshots"](spark, folder).collect()]
     assert len(got) == len(want) and set(got) == want
     assert len({k for k, _, _ in got}) > 10
+
+
+def test_matched_control_all_customers(spark, duck):
+    con, folder = duck
+    pool = con.execute("select c_custkey, c_nationkey, c_acctbal from customer where c_acctbal > 0").fetchall()
+    want = set()
+    for i, g, m in pool:
+        apart = sorted((round(abs(math.log(m) - math.log(x)), 9), j) for j, h, x in pool if h == g and j != i and abs(math.log(m) - math.log(x)) <= math.log(2.0))
+        want |= {(i, j, nth) for nth, (_, j) in enumerate(apart[:2], 1)}
+    got = [tuple(r) for r in reference.QUERIES["matched_control_nearest"](spark, folder).select("signal", "control", "nth").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert any(i % 10 for i, _, _ in got)
+
+
+def test_matched_control_small_balances(spark, tmp_path):
+    rows = [(1, 7, 0.5), (2, 7, 0.75), (3, 7, 0.0), (4, 7, -2.0), (5, 8, 0.5), (6, 7, 1.25)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {tuple(r) for r in reference.QUERIES["matched_control_nearest"](spark, str(tmp_path)).select("signal", "control", "nth").collect()}
+    assert got == {(1, 2, 1), (2, 1, 1), (2, 6, 2), (6, 2, 1)}
