@@ -9,7 +9,7 @@ from tidemark.llm.consensus import consensus, representatives
 from tidemark.llm.encode import VOCABULARY, encode_corpus, encoding
 from tidemark.llm.pack import pack, plan
 from tidemark.llm.topn import top_n
-from tidemark.llm.truncation import body, plain, rates, truncated, usual_limits
+from tidemark.llm.truncation import body, closing_lines, plain, rates, truncated, usual_limits
 
 # top n -----------------------------------------------------------------------------------------------------------
 
@@ -154,6 +154,29 @@ def test_truncated_long_ellipsis(spark):
     assert len(marked) > 3 and {got[i] for i in marked} == {"mark"}
 
 
+def test_plain_commas():
+    assert plain("id,day,close\n277668.SZ,11,1317\n1,234 of 4,472.96亿\n277668.SZ,126,795……") == "id,day,close\n0.SZ,0,0\n0 of 0亿\n0.SZ,0,0……"
+    assert plain("净流入4,47") == "净流入0" and plain("7,500\nFY2001,") == "0\nFY0," and plain("in 1, 2 and 3,4567") == "in 0, 0 and 0,0"
+
+
+def test_truncated_comma_rows(spark):
+    rng = random.Random(4)
+    row = lambda: f"{rng.randrange(200000, 999999)}.{rng.choice(['SZ', 'SH'])},{rng.randrange(1, 900)},{rng.randrange(1, 9000)},{rng.randrange(1, 900)}"
+    said = "The board met on the matter and saw no reason for a change."
+    rows, cut = [], set()
+    for i in range(400):
+        lines = ["symbol,close,amount,lots", *(row() for _ in range(rng.randrange(4, 12)))]
+        if i % 20 == 7:
+            lines[-1] = lines[-1].rsplit(",", rng.choice([1, 2]))[0]
+            cut.add(i)
+        text = "\n".join([said, *lines, said][: None if i % 20 == 3 else -1])
+        rows.append((i, text + ("\n-- relayed by the desk --" if i % 3 == 0 else ""), f"s{i % 200}"))  # too few texts of a source for length evidence
+    df = spark.createDataFrame(rows, "id bigint, text string, source string")
+    assert closing_lines(df, "text", 0.001) == {"-- relayed by the desk --"}
+    got = {r.id: r.evidence for r in truncated(df, "id", "text", "source").where("cut").collect()}
+    assert got == dict.fromkeys(cut, "word"), [(got.get(i), rows[i][1][-60:]) for i in sorted(set(got) ^ cut)[:4]]
+
+
 def corpus():
     rng = random.Random(9)
     animals = ["tortoise", "elephant", "crocodile", "hedgehog", "butterfly"]

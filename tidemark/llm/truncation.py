@@ -11,7 +11,8 @@ special case of a window that never ended.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,14 @@ MARKS = ("[...]", "[…]", "(more", "(more)", "...", "…")
 #: Characters after which a text is at its end.
 STOPS = "。.!?！？…"
 
-#: What stands for a number or a hexadecimal digest: it differs each time.
-_NUMBER = re.compile(r"[0-9a-f]{8,}|\d[\d,]*(?:\.\d+)?")
-_LINES = re.compile(r"[ \t　\xa0]*(?:\r\n|\r|\n)\s*")
+#: A number or a hexadecimal digest, which differ each time. A comma belongs to a number before three digits, or fewer if the line stops there.
+_NUMBER = re.compile(r"[0-9a-f]{8,}|\d++(?:(?<!\d{4})(?:,\d{3}(?!\d))*+(?:,\d{0,2}(?=[^\w\n]*(?:more\W*)?$))?)?(?:\.\d+)?", re.MULTILINE)
+#: A row of a comma table: fields without blanks, more than a number with its commas. A mark of a cut may follow.
+_ROW = re.compile(r"\n(?![+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?\W*$)[!-+\--~]++(?:,[!-+\--~]*+)++(?=[ \t]*(?:$|…|\[|\())", re.MULTILINE)
+_FIELD = "\x01"
+_BREAKS = re.compile(r"[\r\n]\s*")
+_SENTENCES = re.compile(r"[。！？!?.](?:(?<=\.)(?:\s+|$)|(?<!\.)\s*)")
+_LINES = re.compile(r"[ \t　\xa0]+\n")
 _CONTINUED = re.compile(r"\W*(?:未完待续|to be continued)\W*", re.IGNORECASE)
 _TRAILING_MARK = re.compile(r"\s*(?:" + "|".join(re.escape(m) for m in sorted(MARKS, key=len, reverse=True)) + r")\s*$")
 
@@ -36,14 +42,70 @@ DEPTHS = (8, 4)
 
 
 def plain(text: str) -> str:
-    """The text with one form for numbers, digests and line ends, and none of the blanks at its end."""
-    return _NUMBER.sub("0", _LINES.sub("\n", text.rstrip()))
+    """The text with one form for numbers, digests and line ends, and none of the blanks at its end. Commas between fields stay."""
+    out = _BREAKS.sub("\n", text.rstrip())
+    if any(x in out for x in (" \n", "\t\n", "　\n", "\xa0\n")):
+        out = _LINES.sub("\n", out)
+    if "," in out:
+        out = _ROW.sub(lambda m: m.group().replace(",", _FIELD), "\n" + out)[1:]
+    return _NUMBER.sub("0", out).replace(_FIELD, ",")
 
 
 def last_line(text: str) -> str:
     return plain(text[-400:]).rpartition("\n")[2][-200:]
 
 
+def table_row(line: str) -> bool:
+    """Whether a plain line is a row of a table of tabs, pipes or commas."""
+    return "\t" in line or " | " in line or bool(_ROW.match("\n" + line))
+
+
+def sentence(line: str) -> str:
+    return line[:-1] if line.endswith(tuple("。.!?！？")) else line
+
+
+def inside_counts(texts: Iterable[str], limits: dict[str, float]) -> Counter[str]:
+    """How often each candidate (key of ``limits``) is a line or sentence of ``texts`` before their closing block, by ``sentence``.
+
+    The closing block is as many candidates as a text ends with, each once: items of a list at the end repeat and are inside.
+    Only what starts as a candidate does before its first number is made plain, and what was met more often than its limit
+    isn't counted on, as more can't change that it is no closing line.
+    """
+    n: Counter[str] = Counter()
+    most: dict[str, float] = {}
+    for c, limit in limits.items():
+        most[sentence(c)] = max(limit, most.get(sentence(c), 0))
+
+    def starts() -> tuple[set[str], tuple[str, ...]]:
+        heads = {w.partition("0")[0] for w in most}
+        heads = (heads - {""}) | (set("0123456789abcdef") if "" in heads else set())
+        return {h[0] for h in heads}, tuple(sorted(heads))
+
+    def met(line: str) -> bool:
+        if (found := sentence(plain(line))) not in most:
+            return False
+        n[found] += 1
+        return True
+
+    firsts, heads = starts()
+    for text in texts:
+        lines, closing = _BREAKS.split(text.rstrip()), set()
+        while lines and len(lines[-1]) < 1000 and (line := plain(lines[-1])) in limits and line not in closing:
+            closing.add(line)
+            lines.pop()
+        for line in lines:
+            if line[:1] in firsts and line.startswith(heads) and met(line):
+                continue
+            for x in _SENTENCES.split(line):
+                if x[:1] in firsts and x.startswith(heads):
+                    met(x)
+        if over := [w for w in most if n[w] > most[w]]:
+            for w in over:
+                del most[w]
+            firsts, heads = starts()
+    return n
+
+
 def body(text: str, closings: frozenset[str]) -> tuple[str, bool]:
     """The plain text without closing lines and marks of a cut; whether it had such a mark.
 
@@ -193,6 +255,34 @@ def source_name(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(squeeze(c)), r"[-\s]+", "_")
 
 
+# Closing lines ---------------------------------------------------------------------------------------------------
+
+
+def closing_lines(texts: DataFrame, text: str, share: float, least: int = 3, inside: float = 0.05) -> frozenset[str]:
+    """The plain lines that at least ``share`` of ``texts`` and ``least`` of them end with, that are no rows of tables and that
+    occur elsewhere in texts at most ``inside`` times as often. At most 1 / ``share`` lines are looked for and come to the driver."""
+
+    @F.pandas_udf("string")
+    def line_of(ends: pd.Series) -> pd.Series:
+        return ends.map(last_line)
+
+    lines = texts.select(line_of(F.substring(text, -1000, 1000)).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+    total = lines.agg(F.sum("n").alias("all"))
+    frequent = lines.join(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(share) * F.col("all"), F.lit(least)))
+    last = {r.line: r.n for r in frequent.select("line", "n").collect() if r.line and not table_row(r.line)}
+    if not last:
+        return frozenset()
+    limits = {line: inside * n for line, n in last.items()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = inside_counts((t for one in batches for t in one.column(0).to_pylist()), limits)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["line", "n"])
+
+    met = texts.select(text).mapInArrow(count, "line string, n bigint").groupBy("line").agg(F.sum("n").alias("n"))
+    found = {r.line: r.n for r in met.collect()}
+    return frozenset(line for line, limit in limits.items() if found.get(sentence(line), 0) <= limit)
+
+
 # Detection -------------------------------------------------------------------------------------------------------
 
 
@@ -204,20 +294,13 @@ def truncated(texts: DataFrame, key: str, text: str, source: str, closing_share:
     its source cuts, and no stop at the end), or null. Null and blank texts aren't cut. A text that just has no
     final stop ends in a node that ends elsewhere and isn't cut. Repeated rows and keys stay repeated; a null source is a source.
 
-    Closing lines are those that at least ``closing_share`` of all texts end with: at most 1 / ``closing_share`` lines, so they
-    may go to every task. Texts meet the vocabulary in a join by node; a node that many texts end in is split by AQE.
+    Closing lines are those that at least ``closing_share`` of all texts end with and that hardly occur elsewhere (``closing_lines``): at
+    most 1 / ``closing_share`` lines, so they may go to every task. Texts meet the vocabulary in a join by node; a node that many texts end in is split by AQE.
     """
     rows = texts.select(F.col(key).alias("_key"), source_name(source).alias("_source"), F.col(text).alias("_text"))
     filled = rows.where(F.length(F.trim("_text")) > 0)
 
-    @F.pandas_udf("string")
-    def line_of(ends: pd.Series) -> pd.Series:
-        return ends.map(last_line)
-
-    lines = filled.select(line_of(F.substring("_text", -1000, 1000)).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
-    total = lines.agg(F.sum("n").alias("all"))
-    frequent = lines.join(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(closing_share) * F.col("all"), F.lit(3)))
-    closings = frozenset(r.line for r in frequent.select("line").collect())  # at most 1 / closing_share lines
+    closings = closing_lines(filled, "_text", closing_share)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
