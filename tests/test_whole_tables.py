@@ -2,6 +2,8 @@
 
 import bisect
 import math
+from collections import Counter
+from datetime import datetime
 
 from tidemark.plans import reference
 
@@ -40,3 +42,23 @@ def test_matched_control_small_balances(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey bigint, c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     got = {tuple(r) for r in reference.QUERIES["matched_control_nearest"](spark, str(tmp_path)).select("signal", "control", "nth").collect()}
     assert got == {(1, 2, 1), (2, 1, 1), (2, 6, 2), (6, 2, 1)}
+
+
+def test_full_outer_reconcile_whole_keys(spark, duck):
+    con, folder = duck
+    events = Counter((k, str(d)) for k, d in con.execute("select user_id, cast(ts as date) from events").fetchall())
+    orders = Counter((k, str(d)) for k, d in con.execute("select o_custkey, cast(o_orderdate as date) from orders").fetchall())
+    kind = lambda x: "right_only" if x not in events else "left_only" if x not in orders else "both"
+    want = sorted((*x, events[x], orders[x], kind(x)) for x in set(events) | set(orders))
+    got = reference.QUERIES["full_outer_reconcile"](spark, folder).collect()
+    assert sorted((r.k, str(r.d), r.events, r.orders, r.kind) for r in got) == want
+
+
+def test_full_outer_reconcile_sides(spark, tmp_path):
+    at = lambda d: datetime(2020, 1, d, 12)
+    spark.createDataFrame([(1, at(1)), (1, at(1)), (51, at(1)), (2, at(2))], "user_id bigint, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    orders = [(1, at(1), "F"), (61, at(1), "P"), (2, at(3), "O")]
+    spark.createDataFrame(orders, "o_custkey bigint, o_orderdate timestamp, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {tuple(r) for r in reference.QUERIES["full_outer_reconcile"](spark, str(tmp_path)).select("k", "d", "events", "orders", "kind").collect()}
+    day = lambda d: f"2020-01-0{d}"
+    assert got == {(1, day(1), 2, 1, "both"), (51, day(1), 1, 0, "left_only"), (2, day(2), 1, 0, "left_only"), (61, day(1), 0, 1, "right_only"), (2, day(3), 0, 1, "right_only")}

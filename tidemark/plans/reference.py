@@ -564,9 +564,9 @@ def semi_picklist(spark, folder):
 
 @query
 def full_outer_reconcile(spark, folder):
-    """Ticks of a user's day against orders of a customer's day of month, on either side."""
-    a = table(spark, folder, "events").groupBy((F.col("user_id") % 50).alias("k"), F.day("ts").alias("d")).agg(F.count("*").alias("events"))
-    b = table(spark, folder, "orders").where("o_orderstatus = 'P'").groupBy((F.col("o_custkey") % 60).alias("k"), F.day("o_orderdate").alias("d")).agg(F.count("*").alias("orders"))
+    """Ticks of a user's day against all orders of the customer of the same number on that day, on either side."""
+    a = table(spark, folder, "events").groupBy(F.col("user_id").alias("k"), F.to_date("ts").alias("d")).agg(F.count("*").alias("events"))
+    b = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("orders"))
     both = a.join(b, ["k", "d"], "full").select("k", "d", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("orders", F.lit(0)).alias("orders"))
     return both.withColumn("kind", first_reason((F.col("events") == 0, "right_only"), (F.col("orders") == 0, "left_only"), default="both"))
 
