@@ -15,18 +15,40 @@ def metric_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def trimmed_mean(df: DataFrame, keys: list[str], value: str, share: float = 0.01) -> DataFrame:
-    """(keys, n, trimmed): the mean without the largest ceil(``share`` of n) values; null if none is left.
+def running_counts(df: DataFrame, keys: list[str], value: str, fineness: int = 1024) -> DataFrame:
+    """(keys, v, c, before, n): each different known value of a group with its count, the number of smaller ones and the group's size.
 
-    Equal values combine before the shuffle, and a running count over a group's distinct values finds the cut; that
-    window sorts a group's distinct values in one task, spilling if it must.
+    Equal values combine before the shuffle. Running counts are taken within ranges of the value and offset by the counts of the
+    ranges before: a range is a step of 1 / ``fineness`` of the value's inverse hyperbolic sine (even steps about 0, even
+    ratios beyond), so a group with a third of all rows is sorted range by range, and no task holds its values.
     """
-    bins = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    total = bins.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    above = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    cut = bins.withColumn("_above", F.coalesce(above, F.lit(0))).join(total, keys).withColumn("_drop", F.ceil(F.col("n") * share))
-    stay = F.greatest(F.lit(0), F.col("_c") - F.greatest(F.lit(0), F.col("_drop") - F.col("_above")))
-    return cut.groupBy(*keys).agg(F.max("n").alias("n"), F.try_divide(F.sum(F.col("_v") * stay), F.sum(stay)).alias("trimmed"))
+    v = F.col(value).cast("double")
+    bins = df.where(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count("*").alias("c")).withColumn("_range", F.floor(F.asinh("v") * fineness).cast("bigint"))
+    sums = bins.groupBy(*keys, "_range").agg(F.sum("c").alias("_c"))
+    whole = Window.partitionBy(*keys)
+    sums = sums.select(*keys, "_range", F.coalesce(F.sum("_c").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_c").over(whole).alias("n"))
+    within = F.sum("c").over(Window.partitionBy(*keys, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    counted = bins.withColumn("_w", F.coalesce(within, F.lit(0))).join(sums, [*keys, "_range"])
+    return counted.select(*keys, "v", "c", (F.col("_b") + F.col("_w")).alias("before"), "n")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, one column per share): exact quantiles, interpolated between neighbours, of groups too large for one buffer."""
+    places = running_counts(df, keys, value)
+    at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("c")), F.col("v")))
+    out = {}
+    for name, share in shares.items():
+        place = (F.col("n") - 1) * share
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out[name] = low + (high - low) * F.max(place - F.floor(place))
+    return places.groupBy(*keys).agg(*[c.alias(name) for name, c in out.items()])
+
+
+def trimmed_mean(df: DataFrame, keys: list[str], value: str, share: float = 0.01) -> DataFrame:
+    """(keys, n, trimmed): the mean without the largest ceil(``share`` of n) values; null if none is left. Places by ``running_counts``."""
+    cut = running_counts(df, keys, value).withColumn("_left", F.col("n") - F.ceil(F.col("n") * share) - F.col("before"))
+    stay = F.greatest(F.lit(0), F.least(F.col("c"), F.col("_left")))
+    return cut.groupBy(*keys).agg(F.max("n").alias("n"), F.try_divide(F.sum(F.col("v") * stay), F.sum(stay)).alias("trimmed"))
 
 
 def correlation(x: Column, y: Column) -> Column:

@@ -52,13 +52,6 @@ def interval_join(events: DataFrame, intervals: DataFrame, keys: list[str], at:
     return hit.where(inside).select(*events.columns, *[F.col("_v")[v].alias(v) for v in values])
 
 
-def within_steps(left: DataFrame, right: DataFrame, key: str, index: str, first: int, last: int, value: Column) -> DataFrame:
-    """(left rows, step, value) of the right rows ``first`` to ``last`` index steps ahead, by equality on exploded steps."""
-    steps = left.withColumn("_step", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("_at", F.col(index) + F.col("_step"))
-    ahead = right.select(F.col(key).alias("_k"), F.col(index).alias("_i"), value.alias("_value"))
-    return steps.join(ahead, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_i"))).drop("_k", "_i", "_at")
-
-
 def overlaps(intervals: DataFrame, key: str, row_id: str, start: str, end: str, period: int = 64) -> DataFrame:
     """(key, id_a, id_b) of each pair of intervals of a key that overlap, the lower id first.
 
@@ -77,21 +70,41 @@ def overlaps(intervals: DataFrame, key: str, row_id: str, start: str, end: str,
 def nearest_controls(signals: DataFrame, pool: DataFrame, exact: list[str], row_id: str, measure: str, band: float, k: int) -> DataFrame:
     """Each signal's ``k`` nearest pool rows with equal ``exact`` columns, another id and a ratio of ``measure`` within ``band``.
 
-    Nearness is the absolute log ratio, ties by id. Logarithms are binned by the band's width and each signal visits its own and the two neighbouring
-    bins: no signal meets rows out of its band by more than a bin.
+    Nearness is the absolute log ratio, ties by id. The pool is numbered by measure within its exact columns, and each signal
+    knows how many pool rows come before it: it meets the ``k`` + 1 places above and the ``k`` below by equality, never a
+    whole group or band. Places are counted within slices of the logarithm and offset by the counts of the slices before, so
+    a group with a third of all rows is sorted slice by slice. Measures that are null or not above 0 take no part;
+    repeated signals count once.
     """
     import math
 
     width = math.log(band)
-    bin_of = F.floor(F.ln(F.col(measure)) / width).cast("bigint")
-    left = signals.where(F.col(measure) > 0).select(*exact, F.col(row_id).alias("signal"), F.ln(measure).alias("_ls"), F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("_bin"))
-    right = pool.where(F.col(measure) > 0).select(*exact, F.col(row_id).alias("control"), F.ln(measure).alias("_lc"), bin_of.alias("_bin"))
-    near = left.join(right, [*exact, "_bin"]).where(F.col("signal") != F.col("control"))
+    shape = lambda df, role: df.where(F.col(measure) > 0).select(*exact, F.col(row_id).alias("_id"), F.ln(F.col(measure).cast("double")).alias("_ln"), F.lit(role).alias("_pool"))
+    rows = shape(signals, 0).distinct().unionByName(shape(pool, 1))
+    above, below = [
+        _places(rows.withColumns({"_way": F.lit(sign), "_by": F.col("_ln") * sign}), [*exact, "_way"], first, width / 16) for sign, first in ((1, 0), (-1, 1))
+    ]
+    numbered = above.unionByName(below)
+    reach = F.col("_place") + F.when(F.col("_way") == 1, k + 1).otherwise(k)
+    asked = numbered.where("_pool = 0").select(*exact, "_way", F.col("_id").alias("signal"), F.col("_ln").alias("_ls"), F.explode(F.sequence(F.col("_place") + 1, reach)).alias("_place"))
+    offered = numbered.where("_pool = 1").select(*exact, "_way", F.col("_id").alias("control"), F.col("_ln").alias("_lc"), "_place")
+    near = asked.join(offered, [*exact, "_way", "_place"]).where(F.col("signal") != F.col("control"))
     near = near.withColumn("distance", F.abs(F.col("_ls") - F.col("_lc"))).where(F.col("distance") <= width)
     order = Window.partitionBy(*exact, "signal").orderBy(F.round("distance", 9), "control")
     return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select(*exact, "signal", "control", "nth", "distance")
 
 
+def _places(rows: DataFrame, keys: list[str], pool_first: int, slice_width: float) -> DataFrame:
+    """``rows`` plus ``_place``: the number of pool rows up to each in order of ``_by`` and id; of equal ones signals come first, or the pool if ``pool_first``."""
+    sliced = rows.withColumn("_slice", F.floor(F.col("_by") / slice_width).cast("bigint"))
+    sums = sliced.groupBy(*keys, "_slice").agg(F.sum("_pool").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    role = F.col("_pool") * (-1 if pool_first else 1)
+    within = F.sum("_pool").over(Window.partitionBy(*keys, "_slice").orderBy("_by", role, "_id").rowsBetween(Window.unboundedPreceding, 0))
+    counted = sliced.withColumn("_within", within).join(sums.select(*keys, "_slice", before.alias("_before")), [*keys, "_slice"])
+    return counted.withColumn("_place", F.col("_within") + F.col("_before")).drop("_slice", "_within", "_before")
+
+
 def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """A join that fails while running if the right side has a key twice, instead of multiplying rows."""
     single = right.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in right.columns if c not in keys])

@@ -15,6 +15,11 @@ def complete(agg, column: Column, spec: WindowSpec, first: int, last: int) -> Co
     return F.when(F.count(column).over(frame) == last - first + 1, agg(column).over(frame))
 
 
+def steps_ahead(keys: list[str], index: str, first: int, last: int) -> WindowSpec:
+    """The rows ``first`` to ``last`` steps of an integer index ahead, however many rows lie there: neither a join nor a row per step."""
+    return Window.partitionBy(*keys).orderBy(index).rangeBetween(first, last)
+
+
 def rolling_median(column: Column, spec: WindowSpec, n: int) -> Column:
     """The median of the ``n`` rows before, null unless all are known."""
     frame = spec.rowsBetween(-n, -1)
@@ -45,9 +50,29 @@ def streaks(df: DataFrame, keys: list[str], order: str, flag: Column) -> DataFra
     return grouped.withColumn("streak", count.cast("int")).drop("_on", "_group")
 
 
-def changes(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Rows whose value differs from the row before, with ``old`` beside it."""
-    return df.withColumn("old", F.lag(value).over(along(keys, order))).where(~F.col("old").eqNullSafe(F.col(value)))
+def lagged(df: DataFrame, keys: list[str], block: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` plus ``name``: the value of the row before in ``order``, of a hot key too.
+
+    ``block`` is a number that grows with ``order`` (a month, a day number divided by 64). Rows are sorted within (keys,
+    block) only; the first of a block takes the last value of the block before, found from one row per block.
+    """
+    rows = df.withColumn("_block", block)
+    within = Window.partitionBy(*keys, "_block").orderBy(*order)
+    last = rows.groupBy(*keys, "_block").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    carried = last.select(*keys, "_block", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))[value].alias("_carried"))
+    both = rows.withColumns({"_own": F.lag(value).over(within), "_first": F.row_number().over(within) == 1})
+    same = F.col("_block").eqNullSafe(F.col("_cb"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    right = carried.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_block").alias("_cb"), "_carried")
+    return both.join(right, same, "left").select(*df.columns, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_own")).alias(name))
+
+
+def changes(df: DataFrame, keys: list[str], order: str | list[str], value: str, block: Column | None = None) -> DataFrame:
+    """Rows whose value differs from the row before, with ``old`` beside it; with ``block``, a hot key is split (``lagged``)."""
+    order = [order] if isinstance(order, str) else order
+    with_old = df.withColumn("old", F.lag(value).over(along(keys, *order))) if block is None else lagged(df, keys, block, order, value, "old")
+    return with_old.where(~F.col("old").eqNullSafe(F.col(value)))
 
 
 def drawdown(equity: Column, spec: WindowSpec) -> Column:

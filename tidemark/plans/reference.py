@@ -46,8 +46,14 @@ def by_symbol():
 def momentum(spark: SparkSession, folder: str, n: int = 5) -> DataFrame:
     """(symbol, trade_date, close, amount, momentum): the return over the ``n`` bars before the row's own."""
     spec = by_symbol()
-    back = safe_ratio(F.lag("close", 1).over(spec), F.lag("close", n + 1).over(spec)) - 1
-    return daily_bars(spark, folder).select("symbol", "trade_date", "close", "amount", back.alias("momentum"))
+    named = daily_bars(spark, folder).withColumns({"_last": F.lag("close", 1).over(spec), "_first": F.lag("close", n + 1).over(spec)})
+    return named.select("symbol", "trade_date", "close", "amount", (safe_ratio(F.col("_last"), F.col("_first")) - 1).alias("momentum"))
+
+
+def with_ahead(df: DataFrame) -> DataFrame:
+    """``df`` plus ``ahead``, the return from the row's close to its symbol's next one. The window has a name before the guards repeat it."""
+    named = df.withColumn("_next", F.lead("close").over(by_symbol()))
+    return named.withColumn("ahead", safe_ratio(F.col("_next"), F.col("close")) - 1).drop("_next")
 
 
 def day_index(df: DataFrame) -> DataFrame:
@@ -93,13 +99,17 @@ def bucket_bars_left_edge(spark, folder):
 
 @query
 def filtered_aggregates(spark, folder):
-    """Conditional counts, distinct counts, medians, deviations and first values of a month."""
+    """Conditional counts, distinct counts, exact quantiles, deviations and largest values of a month."""
     t = table(spark, folder, "lineitem")
     late = F.col("l_returnflag") == "R"
-    return t.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(
-        F.count_if(late).alias("returned"), F.count_distinct("l_suppkey").alias("symbols"), r(F.median("l_quantity"), 4).alias("median_quantity"),
+    t = t.withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    by_month = t.groupBy("month").agg(
+        F.count_if(late).alias("returned"), F.count_distinct("l_suppkey").alias("symbols"),
         r(F.stddev_samp("l_discount"), 8).alias("sd_discount"), F.bool_or(late & (F.col("l_quantity") > 49)).alias("any_large_return"), F.bool_and(F.col("l_tax") >= 0).alias("all_taxed"),
-        r(F.percentile("l_extendedprice", F.lit(0.95)), 4).alias("p95_price"), F.max(F.when(late, F.col("l_partkey"))).alias("last_returned_part"))
+        F.max(F.when(late, F.col("l_partkey"))).alias("last_returned_part"))
+    quantity = A.exact_quantiles(t, ["month"], "l_quantity", {"q": 0.5}).select("month", r("q", 4).alias("median_quantity"))
+    price = A.exact_quantiles(t, ["month"], "l_extendedprice", {"q": 0.95}).select("month", r("q", 4).alias("p95_price"))
+    return by_month.join(quantity, "month").join(price, "month")
 
 
 @query
@@ -146,8 +156,7 @@ def industry_leave_one_out(spark, folder):
 @query
 def rank_ic(spark, folder):
     """Spearman's correlation of momentum and the next bar's return, over days of five symbols or more."""
-    spec = by_symbol()
-    m = momentum(spark, folder).withColumn("ahead", (safe_ratio(F.lead("close").over(spec), F.col("close")) - 1)).where("momentum is not null and ahead is not null")
+    m = with_ahead(momentum(spark, folder)).where("momentum is not null and ahead is not null")
     ranked = m.select("trade_date", W.average_rank(F.col("momentum"), "trade_date").alias("x"), W.average_rank(F.col("ahead"), "trade_date").alias("y"))
     return ranked.groupBy("trade_date").agg(F.count("*").alias("n"), r(A.correlation(F.col("x"), F.col("y"))).alias("ic")).where("n >= 5")
 
@@ -155,8 +164,7 @@ def rank_ic(spark, folder):
 @query
 def topk_excess(spark, folder):
     """The mean next return of each day's three strongest against the day's mean."""
-    spec = by_symbol()
-    m = momentum(spark, folder).withColumn("ahead", (safe_ratio(F.lead("close").over(spec), F.col("close")) - 1)).where("momentum is not null and ahead is not null")
+    m = with_ahead(momentum(spark, folder)).where("momentum is not null and ahead is not null")
     nth = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.col("momentum").desc(), "symbol"))
     ranked = m.withColumn("nth", nth)
     return ranked.groupBy("trade_date").agg(r(F.avg(F.when(F.col("nth") <= 3, F.col("ahead")))).alias("top"), r(F.avg("ahead")).alias("all"), F.count("*").alias("n")).withColumn("excess", r(F.col("top") - F.col("all"), 5))
@@ -165,8 +173,7 @@ def topk_excess(spark, folder):
 @query
 def candidate_recall(spark, folder):
     """Whether the day's best next return is among its ten most traded, and the chance that ten random ones have it."""
-    spec = by_symbol()
-    m = momentum(spark, folder).withColumn("ahead", (safe_ratio(F.lead("close").over(spec), F.col("close")) - 1)).where("ahead is not null")
+    m = with_ahead(momentum(spark, folder)).where("ahead is not null")
     day = Window.partitionBy("trade_date")
     ranked = m.select("trade_date", F.row_number().over(day.orderBy(F.col("amount").desc(), "symbol")).alias("by_amount"), F.row_number().over(day.orderBy(F.col("ahead").desc(), "symbol")).alias("by_return"))
     out = ranked.groupBy("trade_date").agg(F.count("*").alias("universe"), F.count_if((F.col("by_return") <= 3) & (F.col("by_amount") <= 10)).alias("caught"))
@@ -250,7 +257,9 @@ def tolerance_compare(spark, folder):
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_retailprice")
     t = table(spark, folder, "lineitem").join(part, "l_partkey").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
     off = F.abs(F.col("price") - F.col("p_retailprice")) > F.greatest(F.abs("p_retailprice") * 0.05, F.lit(0.05))
-    return t.groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(off).alias("off"), r(F.median(F.col("price") / F.col("p_retailprice"))).alias("ratio"))
+    counts = t.groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(off).alias("off"))
+    ratio = A.exact_quantiles(t.withColumn("ratio", F.col("price") / F.col("p_retailprice")), ["p_brand"], "ratio", {"ratio": 0.5})
+    return counts.join(ratio.select("p_brand", r("ratio").alias("ratio")), "p_brand")
 
 
 @query
@@ -293,10 +302,11 @@ def rolling_complete_window(spark, folder):
 def prior_day_features(spark, folder):
     """The row's own day takes no part."""
     spec, c, a = by_symbol(), F.col("close"), F.col("amount")
-    last = F.lag("close").over(spec)
-    return daily_bars(spark, folder).select(
-        "symbol", "trade_date", r(safe_ratio(last, F.lag("close", 6).over(spec)) - 1).alias("return5"), r(safe_ratio(last, W.complete(F.avg, c, spec, -5, -1)) - 1).alias("to_mean5"),
-        r(safe_ratio(F.lag("amount").over(spec), W.complete(F.avg, a, spec, -20, -1)) - 1).alias("amount_ratio20"))
+    named = daily_bars(spark, folder).withColumns({
+        "_last": F.lag("close").over(spec), "_sixth": F.lag("close", 6).over(spec), "_mean5": W.complete(F.avg, c, spec, -5, -1),
+        "_amount": F.lag("amount").over(spec), "_mean20": W.complete(F.avg, a, spec, -20, -1)})
+    against = lambda x, y: r(safe_ratio(F.col(x), F.col(y)) - 1)
+    return named.select("symbol", "trade_date", against("_last", "_sixth").alias("return5"), against("_last", "_mean5").alias("to_mean5"), against("_amount", "_mean20").alias("amount_ratio20"))
 
 
 @query
@@ -311,7 +321,8 @@ def expanding_session(spark, folder):
 def shifted_block(spark, folder):
     """The mean volume of the last 5 bars against that of the 20 before."""
     spec, v = by_symbol(), F.col("volume")
-    return daily_bars(spark, folder).select("symbol", "trade_date", r(safe_ratio(W.complete(F.avg, v, spec, -4, 0), W.complete(F.avg, v, spec, -24, -5)) - 1).alias("acceleration"))
+    named = daily_bars(spark, folder).withColumns({"_recent": W.complete(F.avg, v, spec, -4, 0), "_before": W.complete(F.avg, v, spec, -24, -5)})
+    return named.select("symbol", "trade_date", r(safe_ratio(F.col("_recent"), F.col("_before")) - 1).alias("acceleration"))
 
 
 @query
@@ -440,10 +451,10 @@ def suffix_extremes(spark, folder):
 
 @query
 def chain_check(spark, folder):
-    """Snapshots whose stated name isn't the one before them."""
+    """W31 counted: how often each status follows another one."""
     t = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
-    before = F.lag("o_orderstatus").over(W.along(["o_custkey"], "o_orderdate", "o_orderkey"))
-    return t.withColumn("before", before).where("before is not null and before != o_orderstatus").groupBy("before", "o_orderstatus").agg(F.count("*").alias("n"))
+    lagged = W.lagged(t, ["o_custkey"], F.year("o_orderdate"), ["o_orderdate", "o_orderkey"], "o_orderstatus", "before")
+    return lagged.where("before is not null and before != o_orderstatus").groupBy("before", "o_orderstatus").agg(F.count("*").alias("n"))
 
 
 @query
@@ -464,8 +475,8 @@ def equity_drawdown(spark, folder):
 @query
 def transitions(spark, folder):
     """Orders whose status isn't that of the customer's order before."""
-    t = table(spark, folder, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("at"), "o_orderkey", "o_orderstatus")
-    return W.changes(t, ["o_custkey"], "at", "o_orderstatus").select("o_custkey", "o_orderkey", F.col("old").alias("old_status"), F.col("o_orderstatus").alias("new_status"))
+    t = table(spark, folder, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
+    return W.changes(t, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderstatus", F.year("o_orderdate")).select("o_custkey", "o_orderkey", F.col("old").alias("old_status"), F.col("o_orderstatus").alias("new_status"))
 
 
 # Joins -----------------------------------------------------------------------------------------------------------
@@ -511,9 +522,8 @@ def status_intervals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def validity_interval_join(spark, folder):
-    """The status in force at each event of a user, taken as a customer."""
-    start = F.unix_date(F.to_date("ts"))
-    e = table(spark, folder, "events").select("event_id", F.col("user_id").alias("o_custkey"), (F.lit(8036) + start % 2400).alias("day"))
+    """The status in force at each event of a user, taken as a customer; events are laid over the years of the orders by their number."""
+    e = table(spark, folder, "events").select("event_id", F.col("user_id").alias("o_custkey"), (F.lit(9131) + F.col("event_id") % 2400).cast("int").alias("day"))
     return J.interval_join(e, status_intervals(spark, folder), ["o_custkey"], "day", "start", "end", ["status"], 128).select("event_id", "status")
 
 
@@ -521,17 +531,19 @@ def validity_interval_join(spark, folder):
 def first_match_range(spark, folder):
     """The first of the next 5 open days on which a symbol trades more than 60."""
     b = day_index(daily_bars(spark, folder)).select("symbol", "trade_date", "index", "volume")
-    hits = J.within_steps(b.select("symbol", "trade_date", "index"), b.where("volume > 60"), "symbol", "index", 1, 5, F.col("volume"))
-    return hits.groupBy("symbol", "trade_date").agg(F.min("_step").alias("steps"), F.min_by("_value", "_step").alias("volume"))
+    hit = F.when(F.col("volume") > 60, F.struct("index", "volume"))
+    found = b.withColumn("_hit", F.first(hit, ignorenulls=True).over(W.steps_ahead(["symbol"], "index", 1, 5))).where("_hit is not null")
+    return found.select("symbol", "trade_date", (F.col("_hit.index") - F.col("index")).alias("steps"), F.col("_hit.volume").alias("volume"))
 
 
 @query
 def horizon_masked_aggs(spark, folder):
     """Highs and lows over the next 3 and 10 open days, and how many of them had a bar."""
     b = day_index(daily_bars(spark, folder))
-    a = J.within_steps(b.select("symbol", "trade_date", "index"), b, "symbol", "index", 1, 10, F.struct("high", "low"))
-    return a.groupBy("symbol", "trade_date").agg(*[x for h in (3, 10) for x in (
-        r(F.max(F.when(F.col("_step") <= h, F.col("_value.high")))).alias(f"high{h}"), r(F.min(F.when(F.col("_step") <= h, F.col("_value.low")))).alias(f"low{h}"), F.count_if(F.col("_step") <= h).alias(f"bars{h}"))])
+    ahead = {h: W.steps_ahead(["symbol"], "index", 1, h) for h in (3, 10)}
+    found = b.select("symbol", "trade_date", *[x for h, w in ahead.items() for x in (
+        r(F.max("high").over(w)).alias(f"high{h}"), r(F.min("low").over(w)).alias(f"low{h}"), F.count("*").over(w).alias(f"bars{h}"))])
+    return found.where("bars10 > 0")
 
 
 @query
@@ -551,8 +563,11 @@ def overlap_pairs(spark, folder):
 
 @query
 def anti_missing_keys(spark, folder):
-    """Customers without an order."""
-    return table(spark, folder, "customer").join(table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Customers without an urgent order in the last year that has any; the year comes from the data."""
+    o = table(spark, folder, "orders")
+    year = o.agg(F.max(F.year("o_orderdate")).alias("_year"))
+    recent = o.where("o_orderpriority = '1-URGENT'").join(F.broadcast(year), F.year("o_orderdate") == F.col("_year")).select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, folder, "customer").join(recent, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query
@@ -806,8 +821,8 @@ def json_props_agg(spark, folder):
 def event_outcomes(spark, folder):
     """Entry at the next bar's open, exit at the close 1, 3 and 5 bars on; null where the bars aren't there."""
     spec = by_symbol()
-    entry = F.lead("open", 1).over(spec)
-    return daily_bars(spark, folder).select("symbol", "trade_date", *[r(safe_ratio(F.lead("close", 1 + h).over(spec), entry) - 1).alias(f"return{h}") for h in (1, 3, 5)])
+    named = daily_bars(spark, folder).withColumns({"_entry": F.lead("open", 1).over(spec), **{f"_exit{h}": F.lead("close", 1 + h).over(spec) for h in (1, 3, 5)}})
+    return named.select("symbol", "trade_date", *[r(safe_ratio(F.col(f"_exit{h}"), F.col("_entry")) - 1).alias(f"return{h}") for h in (1, 3, 5)])
 
 
 @query
@@ -871,8 +886,7 @@ def ensemble_rank(spark, folder):
 @query
 def paired_increments(spark, folder):
     """The daily difference of two top-three choices' next returns, with its standard error."""
-    spec = by_symbol()
-    m = momentum(spark, folder).withColumn("ahead", safe_ratio(F.lead("close").over(spec), F.col("close")) - 1).where("momentum is not null and ahead is not null")
+    m = with_ahead(momentum(spark, folder)).where("momentum is not null and ahead is not null")
     day = Window.partitionBy("trade_date")
     daily = m.withColumns({"a": F.row_number().over(day.orderBy(F.col("momentum").desc(), "symbol")), "b": F.row_number().over(day.orderBy(F.col("amount").desc(), "symbol"))})
     diff = daily.groupBy("trade_date").agg((F.avg(F.when(F.col("a") <= 3, F.col("ahead"))) - F.avg(F.when(F.col("b") <= 3, F.col("ahead")))).alias("diff"))
@@ -882,8 +896,7 @@ def paired_increments(spark, folder):
 @query
 def unfilled_as_cash(spark, folder):
     """The day's three strongest are chosen before it is known whether they trade; those that don't count 0."""
-    spec = by_symbol()
-    m = momentum(spark, folder).withColumns({"ahead": safe_ratio(F.lead("close").over(spec), F.col("close")) - 1, "filled": F.lead("amount").over(spec) > 20000}).where("momentum is not null")
+    m = with_ahead(momentum(spark, folder).withColumn("filled", F.lead("amount").over(by_symbol()) > 20000)).where("momentum is not null")
     nth = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.col("momentum").desc(), "symbol"))
     top = m.withColumn("nth", nth).where("nth <= 3")
     return top.groupBy("trade_date").agg(r_off(F.avg(F.when(F.col("filled"), F.col("ahead")).otherwise(0.0)), 6).alias("mean"), F.count_if(F.col("filled")).alias("filled"))
@@ -892,19 +905,18 @@ def unfilled_as_cash(spark, folder):
 @query
 def initial_backfill(spark, folder):
     """A customer's unknown first statuses take the first known one, marked as such; later gaps stay."""
-    o = table(spark, folder, "orders").withColumn("known", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
-    spec = W.along(["o_custkey"], "o_orderdate", "o_orderkey")
-    before = F.last("known", ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("known", ignorenulls=True).over(spec.rowsBetween(0, Window.unboundedFollowing))
-    early = F.col("known").isNull() & before.isNull()
-    return o.select("o_orderkey", F.when(early, after).otherwise(F.col("known")).alias("status"), (early & after.isNotNull()).alias("looked_ahead"))
+    o = table(spark, folder, "orders").withColumn("known", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))).withColumn("at", F.struct("o_orderdate", "o_orderkey"))
+    # The first known status of a customer by aggregation: no window holds a customer's orders.
+    first = o.where("known is not null").groupBy("o_custkey").agg(F.min(F.struct("at", "known")).alias("first"))
+    joined = o.join(first, "o_custkey", "left")
+    early = F.col("known").isNull() & (F.col("first").isNull() | (F.col("at") < F.col("first.at")))
+    return joined.select("o_orderkey", F.when(early, F.col("first.known")).otherwise(F.col("known")).alias("status"), (early & F.col("first").isNotNull()).alias("looked_ahead"))
 
 
 @query
 def ridge_fit(spark, folder):
     """Ridge coefficients of the next return on three standardised features, from one pass over sums: checked by its rows only."""
-    spec = by_symbol()
-    m = prior_day_features(spark, folder).join(daily_bars(spark, folder).select("symbol", "trade_date", (safe_ratio(F.lead("close").over(spec), F.col("close")) - 1).alias("y")), ["symbol", "trade_date"])
+    m = prior_day_features(spark, folder).join(with_ahead(daily_bars(spark, folder)).select("symbol", "trade_date", F.col("ahead").alias("y")), ["symbol", "trade_date"])
     names = ["return5", "to_mean5", "amount_ratio20"]
     known = m.where(" and ".join(f"{c} is not null" for c in [*names, "y"]))
     cols = [F.lit(1.0), *[F.least(F.greatest(F.col(c), F.lit(-5.0)), F.lit(5.0)) for c in names], F.least(F.greatest(F.col("y"), F.lit(-1.0)), F.lit(1.0))]
