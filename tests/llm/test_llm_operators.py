@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.consensus import consensus, representatives
+from tidemark.llm.consensus import consensus, elect, representatives
 from tidemark.llm.encode import VOCABULARY, encode_corpus, encoding
 from tidemark.llm.pack import pack, plan
 from tidemark.llm.topn import top_n
@@ -37,27 +37,57 @@ def test_consensus_by_majority():
     assert consensus(["", "a b"], [1, 3]) == 1
 
 
-def test_consensus_with_weights_by_rank_is_the_best():
-    rng = random.Random(4)
-    for _ in range(300):
-        n = rng.randrange(1, 9)
-        values = list(dict.fromkeys("".join(rng.choice("ab c的") for _ in range(rng.randrange(0, 12))).strip() for _ in range(n)))
-        assert consensus(values, [1 << (len(values) - 1 - i) for i in range(len(values))]) == 0
-
-
-@pytest.mark.parametrize("limit", [4, 32])
+def test_bounded_weights_outvote_the_best_ranked():
+    # The best-ranked value comes first and weighs most, yet three others agree on another.
+    values = ["Qingyun Securities", "Qingyun Securities Research", "Qingyun Securities Researchh"]
+    assert consensus(values, [4, 6, 1]) == 1
+    assert consensus(values, [4, 1, 1]) == 0
+    assert elect(["a b", None, "a c", "a c", "a c"], [4, 9, 2, 2, 2]) == (2, 3, 4, 0)
+    assert elect([None, None], [1, 1]) is None
+
+
+def by_plain_python(rows, fields, rank, weight):
+    """The same election, group by group: rows are (group, id, texts by field)."""
+    out = {}
+    for k in {r[0] for r in rows} - {None}:
+        own = sorted((r for r in rows if r[0] == k), key=rank, reverse=True)
+        for at, name in enumerate(fields):
+            have = [r for r in own if r[2][at] is not None]
+            if not have:
+                continue
+            values = list(dict.fromkeys(r[2][at] for r in have))
+            won = values[consensus(values, [sum(weight(r) for r in have if r[2][at] == v) for v in values])]
+            says = [r for r in have if r[2][at] == won]
+            out[k, name] = (won, says[0][1], len(says), len(have), len(own), have[0][2][at], have[0][1])
+    return out
+
+
+@pytest.mark.parametrize("limit", [8, 64])
 def test_representatives(spark, limit):
     rng = random.Random(limit)
-    rows = [(rng.choice(["k1", "k2", None]), i, rng.choice([None, "a b", "a c", "的 x"]), rng.choice([0, 1, 2])) for i in range(60)]
-    rows += [("hot", 100 + i, f"value number {i % 70}", i % 3) for i in range(300)]
-    df = spark.createDataFrame(rows, "k string, id bigint, t string, trust int").withColumn("value", F.lit("clash"))
-    got = {(r.k, r.field_name): (r.id, r.value, r.votes) for r in representatives(df, "k", {"t": F.col("t"), "none": F.lit(None).cast("string")}, F.struct("trust", (-F.col("id")).alias("o")), "id", limit).collect()}
-    for k in ("k1", "k2", "hot"):
-        have = [r for r in rows if r[0] == k and r[2] is not None]
-        best = max(have, key=lambda r: (r[3], -r[1]))
-        assert got[k, "t"] == (best[1], best[2], len(have))
-    assert set(got) == {(k, "t") for k in ("k1", "k2", "hot")}
-    assert representatives(df.limit(0), "k", {"t": F.col("t")}, F.struct("trust"), "id").collect() == []
+    said = [None, "", "a b c", "a b d", "a c", "的 x", "a b c d"]
+    rows = [(rng.choice([f"k{n}" for n in range(40)] + [None]), i, (rng.choice(said), rng.choice(["7.0", None])), rng.choice([0, 1, 2, 3])) for i in range(200)]
+    rows += [("hot", 1000 + i, (rng.choice(said[1:5]), None), i % 4) for i in range(3000)]
+    df = spark.createDataFrame([(k, i, *v, t) for k, i, v, t in rows], "k string, id bigint, t string, n string, trust int").withColumns({"value": F.lit("clash"), "rows": F.lit("clash")})
+    fields = {"t": F.col("t"), "n": F.col("n"), "none": F.lit(None).cast("string")}
+    rank = lambda r: (r[3], -r[1])
+    got = representatives(df, "k", fields, F.struct("trust", (-F.col("id")).alias("o")), "id", F.col("trust") + 1, limit).collect()
+    found = {(r.k, r.field_name): (r.value, r.id, r.votes, r.known, r.rows, r.first_value, r.first_id) for r in got}
+    assert len(found) == len(got)
+    want = by_plain_python(rows, ["t", "n"], rank, lambda r: r[3] + 1)
+    assert found == want
+    assert any(w[0] != w[5] for w in want.values())  # the consensus isn't always the best-ranked value
+    assert representatives(df.limit(0), "k", fields, F.struct("trust"), "id", F.lit(1)).collect() == []
+
+
+def test_representatives_in_rounds(spark):
+    rows = [("hot", i, f"value number {i % 70}", i % 3) for i in range(300)] + [("cold", 900, "x", 1)]
+    df = spark.createDataFrame(rows, "k string, id bigint, t string, trust int")
+    got = {r.k: r for r in representatives(df, "k", {"t": F.col("t")}, F.struct("trust", (-F.col("id")).alias("o")), "id", F.lit(1), 8).collect()}
+    assert got["hot"].known == got["hot"].rows == 300 and got["hot"].value.startswith("value number ")
+    assert (got["hot"].first_value, got["hot"].first_id) == ("value number 2", 2)
+    assert got["hot"].id == min((i for k, i, t, trust in rows if t == got["hot"].value), key=lambda i: (-rows[i][3], i))
+    assert (got["cold"].value, got["cold"].id, got["cold"].votes) == ("x", 900, 1)
 
 
 # encode ----------------------------------------------------------------------------------------------------------

@@ -36,24 +36,40 @@ def stated(c: str) -> Column:
     return F.when((text != "") & ~F.lower(text).isin(*MISSING), text)
 
 
-@query
-def p4_best(spark: SparkSession, folder: str) -> DataFrame:
-    """The surviving value of each field of each report, with the delivery that supplies it and the number that have it."""
+#: The weights of deliveries in a vote, by trust: at most four of one kind outweigh one of another.
+WEIGHTS = {3: 4, 2: 3, 1: 2, 0: 1}
+
+
+def reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The representatives of reports with two deliveries or more."""
     rows = table(spark, folder, "research_report")
     key = F.lower(N.squeeze("source_report_key"))
-    keyed = rows.withColumn("source_report_key", F.when(~key.rlike(r"^(?:-|—|–)*$"), key)).where("source_report_key is not null")
+    keyed = rows.withColumn("source_report_key", F.when(~key.rlike(r"^(?:-|—|–)*$"), key))
     trust = (
         F.when(F.col("tushare_present") & F.col("eastmoney_present"), 3).when(F.col("tushare_present"), 2).when(F.col("eastmoney_present"), 1).otherwise(0)
     )
     fields = {f: stated(f) for f in TEXT_FIELDS} | {f: N.finite_positive(f).cast("string") for f in NUMBER_FIELDS}
-    best = representatives(keyed, "source_report_key", fields, F.struct(trust.alias("trust"), "received_at", (-F.col("record_id")).alias("first")), "record_id")
-    several = keyed.groupBy("source_report_key").agg(F.count("*").alias("deliveries")).where("deliveries > 1")
-    return best.join(several, "source_report_key")
+    weight = F.element_at(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair]), trust)
+    preference = F.struct(trust.alias("trust"), "received_at", (-F.col("record_id")).alias("first"))
+    return representatives(keyed, "source_report_key", fields, preference, "record_id", weight).where("rows > 1")
+
+
+@query
+def p4_best(spark: SparkSession, folder: str) -> DataFrame:
+    """The consensus of each field of each report: the existing value closest to the vote, the best delivery that says it, and how many do."""
+    return reports(spark, folder).select("source_report_key", "field_name", "value", "record_id", "votes", "known", F.col("rows").alias("deliveries"))
 
 
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p4_best(spark, folder).select("source_report_key", "field_name", "record_id")
+    """The delivery that supplies each field by the stated order of deliveries, which stands above the vote: trust, then arrival, then id."""
+    return reports(spark, folder).select("source_report_key", "field_name", F.col("first_id").alias("record_id"))
+
+
+@query
+def p4_support(spark: SparkSession, folder: str) -> DataFrame:
+    """How many deliveries of each report have each field, and the value that the stated order prefers."""
+    return reports(spark, folder).select("source_report_key", "field_name", F.col("first_value").alias("value"), F.col("known").alias("votes"), F.col("rows").alias("deliveries"))
 
 
 # 5. Top N of every group -----------------------------------------------------------------------------------------
@@ -133,7 +149,7 @@ best as (
         for f in TEXT_FIELDS
     ]
     + [
-        f"""select k, '{f}' as field_name, record_id, trust, received_at, count(*) over (partition by k) as deliveries, cast({f} as varchar) as v from g
+        f"""select k, '{f}' as field_name, record_id, trust, received_at, count(*) over (partition by k) as deliveries, cast(cast({f} as double) as varchar) as v from g
       qualify isfinite(cast({f} as double)) and {f} > 0"""
         for f in NUMBER_FIELDS
     ]
@@ -153,6 +169,7 @@ t as (
 
 ORACLES = {
     "p4_found": f"with {_REPORTS} select source_report_key, field_name, record_id from best",
+    "p4_support": f"with {_REPORTS} select source_report_key, field_name, value, votes, deliveries from best where value is not null",
     "p5_top": f"with {_TOP} select strategy_id, signal_date, minute, cast(rank as int) as rank, signal_id, selection_score from t where rank <= 3",
     "p5_found": f"with {_TOP} select signal_id from t where rank <= 3",
 }
