@@ -21,19 +21,19 @@ from tidemark.session import checkpoint
 def slot_matrix(readings: DataFrame, source: str, period: str, slot: Column, order: Column, value: Column, slots: int) -> DataFrame:
     """(source, period, cells): one row per source and period, the slots' last values or null.
 
-    Rows whose ``slot`` or ``value`` is null only make sure that their row exists. Cells combine per
-    (source, period, slot) before rows are put together, so no task gathers more than ``slots`` values of
-    a row, however many readings a source has. Equal order keeps the larger value.
+    Rows whose ``slot`` or ``value`` is null only make sure that their row exists. Equal order keeps the larger value.
+    Readings move once, to the task of their source and period, which splits a hot source by period; there, places in
+    order, slots and rows follow by hash aggregation without another shuffle. Give readings one row per source, period and
+    time (see ``counting``): a source and period are then as large as their different times.
     """
     fine = slot.between(0, slots - 1) & value.isNotNull()
-    cells = readings.groupBy(source, period, F.when(fine, slot).alias("_slot")).agg(
-        F.max(F.when(fine, F.struct(order.alias("o"), value.alias("v")))).alias("_cell")
-    )
-    by_slot = F.map_from_entries(F.collect_list(F.when(F.col("_slot").isNotNull(), F.struct(F.col("_slot"), F.col("_cell.v")))))
-    return (
-        cells.groupBy(source, period).agg(by_slot.alias("_m"))
-        .select(source, period, F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.try_element_at("_m", i)).alias("cells"))
+    moved = readings.select(source, period, *[F.when(fine, c).alias(n) for n, c in (("_slot", slot), ("_o", order), ("_v", value))]).repartition(source, period)
+    cells = (
+        moved.groupBy(source, period, "_slot", "_o").agg(F.max("_v").alias("_v"))
+        .groupBy(source, period, "_slot").agg(F.max_by("_v", "_o").alias("_v"))
     )
+    wide = cells.groupBy(source, period).agg(*[F.max(F.when(F.col("_slot") == i, F.col("_v"))).alias(f"_{i}") for i in range(slots)])
+    return wide.select(source, period, F.array(*[f"_{i}" for i in range(slots)]).alias("cells"))
 
 
 def _dense(column: pa.ChunkedArray | pa.Array, slots: int) -> np.ndarray:
