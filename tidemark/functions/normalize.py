@@ -14,7 +14,8 @@ FALSE_WORDS = ("0", "0.0", "f", "false", "n", "no", "否")
 #: First digits of a bare code and the exchange they stand for.
 EXCHANGE_OF_FIRST_DIGIT = {"569": "SH", "48": "BJ", "01237": "SZ"}
 
-_EDGE = r"^[\s\p{Z}﻿]+|[\s\p{Z}﻿]+$"
+#: White space of any kind: control characters, Unicode's separators and the byte order mark.
+_BLANKS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def _col(c: Column | str) -> Column:
@@ -23,7 +24,7 @@ def _col(c: Column | str) -> Column:
 
 def squeeze(c: Column | str) -> Column:
     """The text without white space of any kind at its ends."""
-    return F.regexp_replace(_col(c), _EDGE, "")
+    return F.btrim(_col(c), F.lit(_BLANKS))
 
 
 def day(c: Column | str) -> Column:
