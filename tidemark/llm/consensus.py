@@ -34,6 +34,12 @@ def align(columns: list[dict[str, int]], total: int, sequence: Sequence[str], we
     Global alignment by dynamic programming. Putting a token into a column costs the weight there that votes otherwise,
     leaving a column out costs the weight of its tokens, opening a column costs ``total``.
     """
+    start = 0
+    while start < min(len(columns), len(sequence)) and columns[start].get(sequence[start], 0) == total:
+        start += 1
+    if start:  # columns in which all agree with the sequence match it at no cost
+        agreed = [{t: total + weight} for t in sequence[:start]]
+        return agreed + align(columns[start:], total, sequence[start:], weight)
     n, m = len(columns), len(sequence)
     skip = [total - c.get(GAP, 0) for c in columns]
     best = [[j * total for j in range(m + 1)]]
@@ -71,14 +77,23 @@ def distance(a: Sequence[str], b: Sequence[str]) -> int:
     return row[-1]
 
 
+def majority(weights: Sequence[int]) -> int | None:
+    """The position of a weight above all others together, or of the first one if it equals them."""
+    total = sum(weights)
+    if weights[0] * 2 >= total:
+        return 0
+    return next((i for i, w in enumerate(weights) if w * 2 > total), None)
+
+
 def consensus(values: Sequence[str], weights: Sequence[int]) -> int:
     """The position of the value closest to the consensus; of equally close ones the earlier.
 
     Values join the alignment in their order; a column's vote goes to its heaviest token, of equal ones to the
-    one that came first.
+    one that came first. A value with more than half of the weight wins every column that it is in and its gap in all others,
+    so it is the consensus without an alignment.
     """
-    if len(values) == 1:
-        return 0
+    if (sure := majority(weights)) is not None:
+        return sure
     split = [tokens(v) for v in values]
     columns, total = [{t: weights[0]} for t in split[0]], weights[0]
     for sequence, weight in zip(split[1:], weights[1:]):
