@@ -1,25 +1,26 @@
 """Texts that stop before their end.
 
-The corpus vocabulary is a trie of strings read backwards from every place: a node is the last ``k`` characters
-before a place, known by its hash, with the number of times that text went on there and the number of times it ended
-(a sentence stop or a line end followed). A text whose last node is known only as a proper
-prefix, one that always went on, was cut. Lengths that an unusual share of a source has are further evidence.
-Windows of characters take the place of words, as half of the corpus has no spaces between words; a partial word is the
-special case of a window that never ended.
+The corpus vocabulary is a trie with two kinds of nodes, each known by its hash, with the number of times that text went on
+there and the number of times it ended. For scripts with spaces a node is the beginning of a word: it ended where
+the word did. A text whose last word is unknown but begins known ones was cut. As half of the corpus has no spaces
+between words, a node is also the last ``k`` characters before a place: it ended where a sentence stop or a line end
+followed. A text whose last characters always went on was cut. Lengths that an unusual share of a source has are
+further evidence.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.normalize import squeeze
+from tidemark.session import checkpoint
 
 #: Marks that are put right after a cut.
 MARKS = ("[...]", "[…]", "(more", "(more)", "...", "…")
@@ -40,6 +41,11 @@ _TRAILING_MARK = re.compile(r"\s*(?:" + "|".join(re.escape(m) for m in sorted(MA
 
 DEPTHS = (8, 4)
 
+#: A word of a script that puts spaces between words: letters but those of Thai, Lao, Khmer and Myanmar, kana and Han.
+_SPACED = r"[^\W\d_\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+_WORD = re.compile(_SPACED + "+")
+_LAST_WORD = re.compile(r"(?<![\d_@/.\-\\])(?<!" + _SPACED + r")(" + _SPACED + r"+)\Z")
+
 
 def plain(text: str) -> str:
     """The text with one form for numbers, digests and line ends, and none of the blanks at its end. Commas between fields stay."""
@@ -52,7 +58,9 @@ def plain(text: str) -> str:
 
 
 def last_line(text: str) -> str:
-    return plain(text[-400:]).rpartition("\n")[2][-200:]
+    """The plain form of the text's last line, whatever its length."""
+    end = text.rstrip()
+    return plain(end[max(end.rfind("\n"), end.rfind("\r")) + 1 :])
 
 
 def table_row(line: str) -> bool:
@@ -64,6 +72,13 @@ def sentence(line: str) -> str:
     return line[:-1] if line.endswith(tuple("。.!?！？")) else line
 
 
+def heads_of(lines: Iterable[str]) -> tuple[set[str], tuple[str, ...]]:
+    """(first characters, beginnings up to the first number) that a raw line must have to be one of ``lines`` when plain."""
+    heads = {w.partition("0")[0] for w in lines}
+    heads = (heads - {""}) | (set("0123456789abcdef") if "" in heads else set())
+    return {h[0] for h in heads}, tuple(sorted(heads))
+
+
 def inside_counts(texts: Iterable[str], limits: dict[str, float]) -> Counter[str]:
     """How often each candidate (key of ``limits``) is a line or sentence of ``texts`` before their closing block, by ``sentence``.
 
@@ -76,21 +91,16 @@ def inside_counts(texts: Iterable[str], limits: dict[str, float]) -> Counter[str
     for c, limit in limits.items():
         most[sentence(c)] = max(limit, most.get(sentence(c), 0))
 
-    def starts() -> tuple[set[str], tuple[str, ...]]:
-        heads = {w.partition("0")[0] for w in most}
-        heads = (heads - {""}) | (set("0123456789abcdef") if "" in heads else set())
-        return {h[0] for h in heads}, tuple(sorted(heads))
-
     def met(line: str) -> bool:
         if (found := sentence(plain(line))) not in most:
             return False
         n[found] += 1
         return True
 
-    firsts, heads = starts()
+    (firsts, heads), (_, last_heads) = heads_of(most), heads_of(limits)
     for text in texts:
         lines, closing = _BREAKS.split(text.rstrip()), set()
-        while lines and len(lines[-1]) < 1000 and (line := plain(lines[-1])) in limits and line not in closing:
+        while lines and lines[-1].startswith(last_heads) and (line := plain(lines[-1])) in limits and line not in closing:
             closing.add(line)
             lines.pop()
         for line in lines:
@@ -102,7 +112,7 @@ def inside_counts(texts: Iterable[str], limits: dict[str, float]) -> Counter[str
         if over := [w for w in most if n[w] > most[w]]:
             for w in over:
                 del most[w]
-            firsts, heads = starts()
+            firsts, heads = heads_of(most)
     return n
 
 
@@ -125,16 +135,6 @@ def body(text: str, closings: frozenset[str]) -> tuple[str, bool]:
     return out, marked
 
 
-def ending(text: str, closings: frozenset[str]) -> tuple[str, bool]:
-    """``body`` from as much of the text's end as leaves enough of it."""
-    size = 1000
-    while True:
-        out = body(text[-size:], closings)
-        if len(out[0]) > 200 or size >= len(text):
-            return out
-        size *= 4
-
-
 # Nodes -----------------------------------------------------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -159,9 +159,20 @@ def tail_node(text: str, k: int) -> int | None:
     return int(_nodes(_codes(text[-k:]), k)[0]) if len(text) >= k else None
 
 
-def node_counts(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, times it went on, times it ended) over ``texts``, which are plain; the texts' own ends count as neither."""
-    codes = _codes(_END + _END.join(texts) + _END + _END)
+def pieces(text: str, k: int, chars: int) -> list[tuple[str, bool]]:
+    """(piece, whether its last character is only there to be looked at): ``text`` in parts of ``chars`` places.
+
+    A part begins ``k`` characters before its first place and ends one after its last, so that each place of the text is
+    counted once, with the same window and the same surroundings whatever ``chars`` is.
+    """
+    if len(text) <= chars:
+        return [(text, False)]
+    return [(text[max(0, at - k) : at + chars + 1], at + chars < len(text)) for at in range(0, len(text), chars)]
+
+
+def node_counts(parts: list[tuple[str, bool]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, times it went on, times it ended) over ``parts`` of plain texts (``pieces``); the texts' own ends count as neither."""
+    codes = _codes(_END + _END.join(p for p, _ in parts) + _END + _END)
     if len(codes) < k + 3:
         return (np.zeros(0, np.int64),) * 3
     code = lambda chars: np.array([ord(c) + 1 for c in chars], np.uint64)
@@ -169,14 +180,60 @@ def node_counts(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     dot = codes == code(".")[0]
     stop[:-1] |= dot[:-1] & np.isin(codes[1:], code(" \n" + _END))
     nodes = _nodes(codes[:-1], k)  # node i is before place i + k
-    after = codes[k:] != code(_END)[0]
-    keys, total = _counts(nodes[after])
+    edges = np.flatnonzero(codes == code(_END)[0])
+    counted = np.ones(len(nodes), bool)
+    for j in range(k + 1):  # no window goes over an edge, and none ends at one
+        at = edges - j
+        counted[at[(at >= 0) & (at < len(nodes))]] = False
+    looked_at = edges[1 : len(parts) + 1][np.array([x for _, x in parts], bool)] - 1
+    counted[looked_at[looked_at >= k] - k] = False
+    keys, total = _counts(nodes[counted])
     ends = np.zeros(len(keys), np.int64)
-    ended, n = _counts(nodes[after & stop[k:]])
+    ended, n = _counts(nodes[counted & stop[k:]])
     ends[np.searchsorted(keys, ended)] = n
     return keys, total - ends, ends
 
 
+_WORD_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _word_nodes(word: str) -> Iterator[int]:
+    """A hash of each beginning of a word, from its first letter to the whole."""
+    h = 0x5BD1E995
+    for c in word:
+        h = ((h ^ ord(c)) * _WORD_BASE) & _MASK
+        h ^= h >> 29
+        yield h - (1 << 64) if h >> 63 else h
+
+
+def words_of(text: str) -> tuple[list[str], int | None]:
+    """(the words of spaced scripts in lower case, without one that the text ends in; the node of that one)."""
+    found = _WORD.findall(text.lower())
+    if not found or not _WORD.match(text[-1:]):
+        return found, None
+    last = _LAST_WORD.search(text.lower())
+    if not last:
+        return found[:-1], None
+    node = 0
+    for node in _word_nodes(last.group(1)):
+        pass
+    return found[:-1], node
+
+
+def word_counts(words: Counter[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, times a word went on, times it ended) of every beginning of the counted words."""
+    total: Counter[int] = Counter()
+    ends: Counter[int] = Counter()
+    for word, n in words.items():
+        node = 0
+        for node in _word_nodes(word):
+            total[node] += n
+        ends[node] += n
+    keys = np.fromiter(total, np.int64, len(total))
+    ended = np.fromiter((ends[k] for k in total), np.int64, len(total))
+    return keys, np.fromiter(total.values(), np.int64, len(total)) - ended, ended
+
+
 def _counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values in order, and how often each occurs. Sorted, as that is several times faster than numpy's inverse."""
     ordered = np.sort(values)
@@ -184,52 +241,53 @@ def _counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.append(first, len(ordered)))
 
 
-def vocabulary(texts: DataFrame, text: str, closings: frozenset[str] = frozenset(), depths: tuple[int, ...] = DEPTHS, chars: int = 2_000_000, most: int = 2_000_000) -> DataFrame:
-    """(node, on, ends): every node of the corpus trie with its counts, over whole texts without their closing lines.
-
-    Counted in blocks of about ``chars`` characters within each task and merged there until ``most`` nodes are held, so
-    that what is shuffled is nodes, not places; sums by node follow. A node's hash tells its depth as well.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {k: [] for k in depths}
-
-        def merge(k: int) -> tuple[np.ndarray, ...]:
-            nodes, on, ends = (np.concatenate(x) for x in zip(*held[k]))
-            keys, inverse = np.unique(nodes, return_inverse=True)
-            return keys, *(np.bincount(inverse, weights=x, minlength=len(keys)).astype(np.int64) for x in (on, ends))
-
-        def out(k: int) -> pa.RecordBatch:
-            nodes, on, ends = merge(k)
-            held[k] = []
-            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(on), pa.array(ends)], ["node", "on", "ends"])
-
-        def add(block: list[str]) -> Iterator[pa.RecordBatch]:
-            for k in depths:
-                held[k].append(node_counts(block, k))
-                if sum(len(x[0]) for x in held[k]) > most:
-                    held[k] = [merge(k)]
-                    if len(held[k][0][0]) > most // 2:
-                        yield out(k)
-
-        block, size = [], 0
-        for one in batches:
-            for t in one.column(0).to_pylist():
-                for at in range(0, len(t), chars):  # blocks of a huge text overlap by a node
-                    part = t[max(0, at - max(depths)) : at + chars]
-                    block.append(plain(part) if at + chars < len(t) else body(part, closings)[0])
-                    size += len(block[-1])
-                    if size >= chars:
-                        yield from add(block)
-                        block, size = [], 0
-        if block:
-            yield from add(block)
-        for k in depths:
-            if held[k]:
-                yield out(k)
-
-    parts = texts.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(text).mapInArrow(count, "node bigint, on bigint, ends bigint")
-    return parts.groupBy("node").agg(F.sum("on").alias("on"), F.sum("ends").alias("ends"))
+class Vocabulary:
+    """The nodes of the texts that one task has read, merged until ``most`` of a depth are held; what leaves it is nodes, not places."""
+
+    def __init__(self, depths: tuple[int, ...], chars: int, most: int):
+        self.depths, self.chars, self.most = depths, chars, most
+        self.held: dict[int, list] = {k: [] for k in depths}
+        self.block: dict[int, list[tuple[str, bool]]] = {k: [] for k in depths}
+        self.words: Counter[str] = Counter()
+        self.size = 0
+
+    def add(self, text: str, words: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Takes a plain text's characters and words; gives nodes when there are too many to hold."""
+        self.words.update(words)
+        if len(self.words) > self.most // 8:
+            yield word_counts(self.words)
+            self.words = Counter()
+        parts = {k: pieces(text, k, self.chars) for k in self.depths}
+        for i in range(max(map(len, parts.values()))):
+            for k in self.depths:
+                self.block[k].append(parts[k][i])
+            self.size += len(parts[self.depths[0]][i][0])
+            if self.size >= self.chars:
+                yield from self._count()
+
+    def _merged(self, k: int) -> tuple[np.ndarray, ...]:
+        nodes, on, ends = (np.concatenate(x) for x in zip(*self.held[k]))
+        keys, inverse = np.unique(nodes, return_inverse=True)
+        return keys, *(np.bincount(inverse, weights=x, minlength=len(keys)).astype(np.int64) for x in (on, ends))
+
+    def _count(self) -> Iterator[tuple[np.ndarray, ...]]:
+        for k in self.depths:
+            self.held[k].append(node_counts(self.block[k], k))
+            self.block[k] = []
+            if sum(len(x[0]) for x in self.held[k]) > self.most:
+                self.held[k] = [self._merged(k)]
+                if len(self.held[k][0][0]) > self.most // 2:
+                    yield self.held[k].pop()
+        self.size = 0
+
+    def rest(self) -> Iterator[tuple[np.ndarray, ...]]:
+        if self.size:
+            yield from self._count()
+        for k in self.depths:
+            if self.held[k]:
+                yield self._merged(k)
+        if self.words:
+            yield word_counts(self.words)
 
 
 # Length evidence -------------------------------------------------------------------------------------------------
@@ -258,18 +316,48 @@ def source_name(c: Column | str) -> Column:
 # Closing lines ---------------------------------------------------------------------------------------------------
 
 
-def closing_lines(texts: DataFrame, text: str, share: float, least: int = 3, inside: float = 0.05) -> frozenset[str]:
+def _digest(line: str) -> bytes:
+    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def closing_lines(texts: DataFrame, text: str, share: float, least: int = 3, inside: float = 0.05, inline: int = 1000) -> frozenset[str]:
     """The plain lines that at least ``share`` of ``texts`` and ``least`` of them end with, that are no rows of tables and that
-    occur elsewhere in texts at most ``inside`` times as often. At most 1 / ``share`` lines are looked for and come to the driver."""
+    occur elsewhere in texts at most ``inside`` times as often. At most 1 / ``share`` lines are looked for and come to the driver.
 
-    @F.pandas_udf("string")
-    def line_of(ends: pd.Series) -> pd.Series:
-        return ends.map(last_line)
+    Lines are counted at full length by a digest; one of more than ``inline`` characters is fetched only once it is known to be
+    frequent, so that texts that are one long line don't move.
+    """
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            lines = [line if len(line) <= inline else None for line in n]
+            return pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in n], pa.binary()), pa.array(lines, pa.string()), pa.array(list(n.values()), pa.int64())], ["digest", "line", "n"])
 
-    lines = texts.select(line_of(F.substring(text, -1000, 1000)).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+        n: Counter[str] = Counter()
+        for one in batches:
+            n.update(last_line(t) for t in one.column(0).to_pylist())
+            if len(n) > 20000:
+                yield out()
+                n.clear()
+        if n:
+            yield out()
+
+    lines = texts.select(text).mapInArrow(ends, "digest binary, line string, n bigint").groupBy("digest", "line").agg(F.sum("n").alias("n"))
     total = lines.agg(F.sum("n").alias("all"))
-    frequent = lines.join(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(share) * F.col("all"), F.lit(least)))
-    last = {r.line: r.n for r in frequent.select("line", "n").collect() if r.line and not table_row(r.line)}
+    frequent = lines.join(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(share) * F.col("all"), F.lit(least))).select("digest", "line", "n").collect()
+    last = {r.line: r.n for r in frequent if r.line is not None}
+    if long := {bytes(r.digest): r.n for r in frequent if r.line is None}:
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met: dict[bytes, str] = {}
+            for one in batches:
+                for t in one.column(0).to_pylist():
+                    if len(line := last_line(t)) > inline and (d := _digest(line)) in long:
+                        met[d] = line
+            yield pa.RecordBatch.from_arrays([pa.array(list(met.values()), pa.string())], ["line"])
+
+        last |= {r.line: long[_digest(r.line)] for r in texts.select(text).mapInArrow(fetch, "line string").distinct().collect()}
+    last = {line: n for line, n in last.items() if line and not table_row(line)}
     if not last:
         return frozenset()
     limits = {line: inside * n for line, n in last.items()}
@@ -286,52 +374,90 @@ def closing_lines(texts: DataFrame, text: str, share: float, least: int = 3, ins
 # Detection -------------------------------------------------------------------------------------------------------
 
 
-def truncated(texts: DataFrame, key: str, text: str, source: str, closing_share: float = 0.001, support: int = 3, ends_share: float = 0.05) -> DataFrame:
+def read_corpus(rows: DataFrame, closings: frozenset[str], depths: tuple[int, ...] = DEPTHS, chars: int = 2_000_000, most: int = 2_000_000) -> DataFrame:
+    """One pass over (_key, _source, _text): a row per text with the kind of its end, the nodes there and its lengths, and rows of
+    vocabulary nodes (``nodes``, ``on``, ``ends`` as arrays, all else null) over whole texts without their closing lines."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    fields = ["_key", "_source", "kind", *[f"node{k}" for k in depths], "word_node", "chars", "octets", "nodes", "on", "ends"]
+    arrow = [pa.string(), *[pa.int64()] * (len(depths) + 1), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    measured = rows.withColumns({"chars": F.length("_text"), "octets": F.octet_length("_text")})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Vocabulary(depths, chars, most)
+        kinds: list[pa.DataType] = []
+
+        def nodes(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(found[0]), 65536):
+                three = [[x[at : at + 65536]] for x in found]
+                empty = [pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), *[pa.nulls(1, t) for t in arrow[:-3]]]
+                yield pa.RecordBatch.from_arrays([*empty, *[pa.array(x, t) for x, t in zip(three, arrow[-3:])]], fields)
+
+        for one in batches:
+            kinds[:] = [one.column(0).type, one.column(1).type]
+            kind, ends, last = [], {k: [] for k in depths}, []
+            for t in one.column(2).to_pylist():
+                out, marked = body(t or "", closings)
+                words, word_node = words_of(out) if out else ([], None)
+                kind.append("blank" if not out else "stop" if out[-1] in STOPS else "character" if out[-1] == "�" else "mark" if marked else "open")
+                asked = kind[-1] == "open"
+                for k in depths:
+                    ends[k].append(tail_node(out, k) if asked else None)
+                last.append(word_node if asked else None)
+                if out:
+                    for found in seen.add(out, words):
+                        yield from nodes(found)
+            n = one.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [one.column(0), one.column(1), pa.array(kind, pa.string()), *[pa.array(ends[k], pa.int64()) for k in depths], pa.array(last, pa.int64()),
+                 one.column(3), one.column(4), *[pa.nulls(n, t) for t in arrow[-3:]]], fields)
+        for found in seen.rest():
+            yield from nodes(found)
+
+    shape = ", ".join([
+        f"_key {types['_key']}, _source string, kind string", *[f"node{k} bigint" for k in depths], "word_node bigint, chars int, octets int, nodes array<bigint>, on array<int>, ends array<int>"])
+    return measured.mapInArrow(read, shape)
+
+
+def truncated(texts: DataFrame, key: str, text: str, source: str, closing_share: float = 0.001, support: int = 3, ends_share: float = 0.05,
+              known_share: float = 0.002, chars: int = 2_000_000) -> DataFrame:
     """(key, source, cut, evidence): whether each text was cut before its end, with the evidence.
 
-    ``evidence`` is ``character`` (cut within a character), ``mark`` (a mark of a cut follows), ``word`` (the deepest trie node of
-    its end that was met ``support`` times went on all but ``ends_share`` of the times), ``length`` (a length at which
+    ``evidence`` is ``character`` (cut within a character), ``mark`` (a mark of a cut follows), ``prefix`` (its last word, in a script with
+    spaces, is unknown, or no more than ``known_share`` of the ``support`` words or more that begin so), ``word`` (the deepest node of
+    characters at its end that was met ``support`` times went on all but ``ends_share`` of the times), ``length`` (a length at which
     its source cuts, and no stop at the end), or null. Null and blank texts aren't cut. A text that just has no
     final stop ends in a node that ends elsewhere and isn't cut. Repeated rows and keys stay repeated; a null source is a source.
 
     Closing lines are those that at least ``closing_share`` of all texts end with and that hardly occur elsewhere (``closing_lines``): at
-    most 1 / ``closing_share`` lines, so they may go to every task. Texts meet the vocabulary in a join by node; a node that many texts end in is split by AQE.
+    most 1 / ``closing_share`` lines, so they may go to every task. The corpus is read three times: for the lines it ends with, for
+    those lines inside texts, and for ends and vocabulary together, which are written once. ``chars`` bounds what a task counts at a
+    time and changes no result. Texts meet the vocabulary in a join by node; a node that many texts end in is split by AQE.
     """
     rows = texts.select(F.col(key).alias("_key"), source_name(source).alias("_source"), F.col(text).alias("_text"))
-    filled = rows.where(F.length(F.trim("_text")) > 0)
-
-    closings = closing_lines(filled, "_text", closing_share)
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in batches:
-            found = [ending(t or "", closings) for t in one.column(2).to_pylist()]
-            bodies = [b for b, _ in found]
-            kind = ["blank" if not b else "stop" if b[-1] in STOPS else "character" if b[-1] == "�" else "mark" if m else "open" for b, m in found]
-            arrays = [pa.array([tail_node(b, k) if x == "open" else None for b, x in zip(bodies, kind)], pa.int64()) for k in DEPTHS]
-            yield pa.RecordBatch.from_arrays(
-                [one.column(0), one.column(1), pa.array(kind), *arrays, one.column(3), one.column(4)],
-                ["_key", "_source", "kind", *[f"node{k}" for k in DEPTHS], "chars", "octets"],
-            )
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    shape = f"_key {types['_key']}, _source string, kind string, {', '.join(f'node{k} bigint' for k in DEPTHS)}, chars int, octets int"
-    measured = rows.withColumns({"chars": F.length("_text"), "octets": F.octet_length("_text")})
-    tails = measured.mapInArrow(ends, shape)
-    known = vocabulary(filled, "_text", closings)
+    closings = closing_lines(rows.where(F.length(F.trim("_text")) > 0), "_text", closing_share)
+    once = checkpoint(read_corpus(rows, closings, DEPTHS, chars))
+    tails = once.where("kind is not null").drop("nodes", "on", "ends")
+    known = (
+        once.where("nodes is not null").select(F.inline(F.arrays_zip("nodes", "on", "ends"))).groupBy(F.col("nodes").alias("node"))
+        .agg(F.sum("on").alias("on"), F.sum("ends").alias("ends"))
+    )
     out = tails
-    for k in DEPTHS:
-        # The same plan for each depth, so that the vocabulary is counted once and its exchange used again.
-        right = known.select(F.col("node").alias(f"node{k}"), F.struct("on", "ends").alias(f"seen{k}"))
-        out = out.join(right, f"node{k}", "left")
-    deepest = F.coalesce(*[F.when(F.col(f"seen{k}.on") + F.col(f"seen{k}.ends") >= support, F.col(f"seen{k}")) for k in DEPTHS])
+    for name in (*[f"node{k}" for k in DEPTHS], "word_node"):
+        # The same plan for each, so that the vocabulary is counted once and its exchange used again.
+        right = known.select(F.col("node").alias(name), F.struct("on", "ends").alias(f"seen_{name}"))
+        out = out.join(right, name, "left")
+    deepest = F.coalesce(*[F.when(F.col(f"seen_node{k}.on") + F.col(f"seen_node{k}.ends") >= support, F.col(f"seen_node{k}")) for k in DEPTHS])
     for measure in ("chars", "octets"):
-        spikes = usual_limits(measured.select("_source", measure), "_source", measure)
+        spikes = usual_limits(tails.select("_source", measure), "_source", measure)
         right = spikes.select(F.col("_source").alias("_s"), F.col(measure).alias("_m"), F.lit(True).alias(f"at_{measure}"))
         out = out.join(right, F.col("_source").eqNullSafe(F.col("_s")) & (F.col(measure) == F.col("_m")), "left").drop("_s", "_m")
-    word = deepest["ends"] <= ends_share * (deepest["on"] + deepest["ends"])
+    window = deepest["ends"] <= ends_share * (deepest["on"] + deepest["ends"])
+    begun = F.col("seen_word_node.on") + F.col("seen_word_node.ends")
+    prefix = (begun >= support) & (F.col("seen_word_node.ends") <= known_share * begun)
     evidence = (
         F.when(F.col("kind").isin("character", "mark"), F.col("kind"))
-        .when((F.col("kind") == "open") & word, "word")
+        .when((F.col("kind") == "open") & prefix, "prefix")
+        .when((F.col("kind") == "open") & window, "word")
         .when((F.col("kind") == "open") & (F.col("at_chars") | F.col("at_octets")), "length")
     )
     return out.select(F.col("_key").alias(key), F.col("_source").alias(source), evidence.isNotNull().alias("cut"), evidence.alias("evidence"))
