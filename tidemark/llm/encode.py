@@ -1,6 +1,6 @@
 """Encoding of texts with a public byte-level BPE vocabulary.
 
-Long texts are cut into leaves of a binary tree that are encoded in parallel; two neighbours are joined by
+Long texts are cut into leaves of a binary tree that threads encode in parallel; two neighbours are joined by
 encoding a window around their join again, which grows until both sides agree exactly.
 """
 
@@ -139,54 +139,28 @@ def _ids(lists: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode_corpus(texts: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS) -> DataFrame:
+def encode_text(text: str, enc, leaf: int, threads: int) -> list[int]:
+    """The ids of one text: of its leaves in parallel, then joined in pairs."""
+    if len(text) <= leaf:
+        return enc.encode_ordinary(text)
+    return join_all(enc.encode_ordinary_batch(halves(text, leaf), num_threads=threads), enc)
+
+
+def encode_corpus(texts: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS, threads: int = 4) -> DataFrame:
     """(key, ids): the token ids of every row's text, without special tokens.
 
-    Null and empty texts have empty ids. Rows keep their number: repeated rows and keys stay repeated, null keys stay. Texts of
-    up to ``leaf`` characters are encoded where they are read, without a shuffle. Longer ones are cut into leaves
-    which spread over all tasks, so one huge text isn't one task's work; only its ids come together
-    again, in the row they have to form anyway. Leaves of a text are found again by key and a digest of the text.
-    Other columns are ignored.
+    Null and empty texts have empty ids. Rows keep their number: repeated rows and keys stay repeated, null keys stay. Texts are read
+    once and encoded where they are read, without a shuffle. One of more than ``leaf`` characters is cut into the leaves of a
+    tree, which ``threads`` threads of its task encode in parallel (the encoder works outside Python's lock) and which are
+    then joined in pairs: a text has to end up in one row anyway. Other columns are ignored.
     """
     kind = texts.schema[key].dataType.simpleString()
-    rows = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
 
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
         for one in batches:
-            ids = [enc.encode_ordinary(t) if t else [] for t in one.column(one.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*one.columns[:-1], _ids(ids)], [*one.schema.names[:-1], "ids"])
+            ids = [encode_text(t, enc, leaf, threads) if t else [] for t in one.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([one.column(0), _ids(ids)], ["_key", "ids"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in batches:
-            digests = one.column(1).to_pylist()
-            for i, t in enumerate(one.column(2).to_pylist()):
-                parts = halves(t, leaf)
-                for at in range(0, len(parts), 256):
-                    some = parts[at : at + 256]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.concat_arrays([one.column(0).slice(i, 1)] * len(some)), pa.array([digests[i]] * len(some)), pa.array(range(at, at + len(some)), pa.int32()), pa.array(some, pa.string())],
-                        ["_key", "_digest", "_leaf", "_text"],
-                    )
-
-    def join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
-        for one in batches:
-            ids = [join_all(parts, enc) for parts in one.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), _ids(ids)], ["_key", "_n", "ids"])
-
-    short = rows.where(F.col("_text").isNull() | (F.length("_text") <= leaf)).mapInArrow(encode_rows, f"_key {kind}, ids array<int>")
-    leaves = (
-        rows.where(F.length("_text") > leaf)
-        .select("_key", F.sha1("_text").alias("_digest"), "_text")
-        .mapInArrow(cut, f"_key {kind}, _digest string, _leaf int, _text string")
-        .groupBy("_key", "_digest", "_leaf").agg(F.count("*").alias("_n"), F.first("_text").alias("_text"))
-        .mapInArrow(encode_rows, f"_key {kind}, _digest string, _leaf int, _n bigint, ids array<int>")
-    )
-    whole = leaves.groupBy("_key", "_digest").agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("_leaf", "ids"))).alias("_parts"))
-    long = (
-        whole.select("_key", "_n", F.col("_parts.ids").alias("_parts"))
-        .mapInArrow(join_rows, f"_key {kind}, _n bigint, ids array<int>")
-        .select("_key", F.explode(F.array_repeat("ids", F.col("_n").cast("int"))).alias("ids"))
-    )
-    return short.unionByName(long).withColumnRenamed("_key", key)
+    rows = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    return rows.mapInArrow(encode_rows, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)

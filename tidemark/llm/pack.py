@@ -7,6 +7,8 @@ ordinal among the items of its size. No step depends on all items being in one p
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -91,6 +93,10 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, buckets: int = 64
             used[one] = begin + uses * many
             offset += one * uses
         first += many
+    # What is sent to all tasks is bounded by the capacity, not by the items; the bound is looked at before it is relied on.
+    bound = capacity * (2 + math.ceil(math.log(capacity + 1)))
+    if len(segments) > bound * 8:
+        raise RuntimeError(f"{len(segments)} segments of patterns, more than capacity * log(capacity) allows")
     before = F.sum("n").over(Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = per_bucket.select("size", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
     order = Window.partitionBy("size", "bucket").orderBy("key", "piece")
