@@ -1,6 +1,7 @@
 """The corpus operators against plain Python on small and odd inputs."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from tidemark.llm.consensus import consensus, elect, representatives
 from tidemark.llm.encode import VOCABULARY, encode_corpus, encoding
 from tidemark.llm.pack import pack, plan
 from tidemark.llm.topn import top_n
-from tidemark.llm.truncation import body, closing_lines, plain, rates, truncated, usual_limits
+from tidemark.llm.truncation import body, closing_lines, node_counts, pieces, plain, rates, truncated, usual_limits, word_counts, words_of
 
 # top n -----------------------------------------------------------------------------------------------------------
 
@@ -46,6 +47,21 @@ def test_bounded_weights_outvote_the_best_ranked():
     assert elect([None, None], [1, 1]) is None
 
 
+def test_majority_is_what_the_alignment_gives(monkeypatch):
+    import tidemark.llm.consensus as C
+
+    rng = random.Random(6)
+    groups = []
+    for _ in range(400):
+        values = list(dict.fromkeys("".join(rng.choice("ab c的") for _ in range(rng.randrange(0, 12))).strip() for _ in range(rng.randrange(1, 6))))
+        groups.append((values, [rng.randrange(1, 9) for _ in values]))
+    short = [C.consensus(*g) for g in groups]
+    sure = [C.majority(w) for _, w in groups]
+    monkeypatch.setattr(C, "majority", lambda weights: 0 if len(weights) == 1 else None)
+    assert [C.consensus(*g) for g in groups] == short
+    assert sum(x is not None for x in sure) > 100 and any(x is None for x in sure)
+
+
 def by_plain_python(rows, fields, rank, weight):
     """The same election, group by group: rows are (group, id, texts by field)."""
     out = {}
@@ -253,3 +269,52 @@ def test_usual_limits(spark):
     rows = [("a", rng.randrange(100, 900)) for _ in range(500)] + [("a", 400)] * 60 + [("b", rng.randrange(10, 20)) for _ in range(100)] + [(None, 5)]
     got = {tuple(r) for r in usual_limits(spark.createDataFrame(rows, "s string, n int"), "s", "n").collect()}
     assert got == {("a", 400)}
+
+
+def test_long_closing_lines_are_known_whole(spark):
+    rng = random.Random(8)
+    footer = "This footer says at length that nobody is liable for anything said above, " * 4
+    wall = "A wall of words that is one line and more than a thousand characters long goes on and on here. " * 14
+    assert 250 < len(footer) < 320 and len(wall) > 1200
+    say = lambda: " ".join(rng.choice(["rates", "bonds", "yields", "markets", "prices"]) for _ in range(rng.randrange(5, 60))) + "."
+    rows = [(i, f"{say()} {say()}\n{footer if i % 2 else wall}", "desk") for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, text string, source string")
+    found = closing_lines(df, "text", 0.001)
+    assert found == {plain(footer), plain(wall)}
+    assert all(body(t, found)[0] == t.partition("\n")[0] for _, t, _ in rows)
+    assert truncated(df, "id", "text", "source").where("cut").count() == 0
+
+
+def test_blocks_change_no_count(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab. \n。3.5字") for _ in range(n)) for n in (3000, 5, 0, 4, 9, 700)]
+    for k in (8, 4):
+        want = node_counts([(t, False) for t in texts], k)
+        brute = Counter(t[p - k : p] for t in texts for p in range(k, len(t)))
+        assert len(want[0]) == len(brute) and int((want[1] + want[2]).sum()) == sum(brute.values())  # no window goes over two texts
+        for chars in (1, 2, 3, 50, 2999, 3000):
+            got = node_counts([x for t in texts for x in pieces(t, k, chars)], k)
+            assert all((a == b).all() for a, b in zip(want, got))
+    rows, _ = corpus()
+    df = spark.createDataFrame(rows[:400] + [(5000, " ".join(t for _, t, _ in rows if t), "desk")], "id bigint, text string, source string")
+    flags = [sorted((r.id, r.evidence or "") for r in truncated(df, "id", "text", "source", chars=chars).collect()) for chars in (300, 2_000_000)]
+    assert flags[0] == flags[1]
+
+
+def test_words_of_spaced_scripts():
+    assert words_of("The Compan")[0] == ["the"] and words_of("The Compan")[1] is not None
+    assert words_of("it is done.") == (["it", "is", "done"], None) and words_of("") == ([], None)
+    assert words_of("公司Comp")[1] == words_of("a comp")[1] and words_of("on 12ab")[1] is None and words_of("的")[1] is None
+    nodes, on, ends = word_counts(Counter({"company": 3, "comp": 1}))
+    by = {int(n): (int(a), int(b)) for n, a, b in zip(nodes, on, ends)}
+    assert by[words_of("x comp")[1]] == (3, 1) and by[words_of("x company")[1]] == (0, 3) and by[words_of("x compan")[1]] == (3, 0) and len(by) == 7
+
+
+def test_last_word_unknown(spark):
+    rng = random.Random(2)
+    words = ["company", "announces", "dividend", "shareholders", "quarterly", "results"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(8, 20))) + ("" if i % 5 == 0 else "."), f"s{i % 90}") for i in range(400)]
+    rows += [(900, "company results divid", "s1"), (901, "company results zzyzx", "s2"), (902, "dividend announces shareh", "s3")]
+    df = spark.createDataFrame(rows, "id bigint, text string, source string")
+    got = {r.id: r.evidence for r in truncated(df, "id", "text", "source").where("cut").collect()}
+    assert got == {900: "prefix", 902: "prefix"}
