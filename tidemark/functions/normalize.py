@@ -22,6 +22,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def sealed(c: Column) -> Column:
+    """The same value, computed once where it stands: the optimiser neither repeats nor moves what isn't deterministic by name.
+
+    For parsed keys. A filter or join on them would otherwise be pushed down to the scan and parse the text again, with the whole
+    expression written out at each mention. Filters on columns as they are stored still reach the scan.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def squeeze(c: Column | str) -> Column:
     """The text without white space of any kind at its ends."""
     return F.btrim(_col(c), F.lit(_BLANKS))
