@@ -3,10 +3,10 @@
 import pytest
 
 from compare import same
-from tidemark.plans import dealt, dealt_sql, market, market_sql, reference, reference_sql
+from tidemark.plans import audits, audits_sql, dealt, dealt_sql, market, market_sql, reference, reference_sql
 
-CORE = {**dealt.QUERIES, **reference.QUERIES, **market.QUERIES}
-SQL = {**dealt_sql.ORACLES, **reference_sql.ORACLES, **market_sql.ORACLES}
+CORE = {**dealt.QUERIES, **reference.QUERIES, **market.QUERIES, **audits.QUERIES}
+SQL = {**dealt_sql.ORACLES, **reference_sql.ORACLES, **market_sql.ORACLES, **audits_sql.ORACLES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
