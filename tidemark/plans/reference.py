@@ -72,7 +72,7 @@ def ohlcv_daily_bars(spark, folder):
 
 @query
 def ohlcv_weekly_bars(spark, folder):
-    """Weeks of daily bars with their VWAP, complete ones (5 bars or more) only."""
+    """Weeks of daily bars with their VWAP, those of 5 bars or more only."""
     bars = daily_bars(spark, folder).withColumn("week", F.to_date(F.date_trunc("week", "trade_date")))
     return bars.groupBy("symbol", "week").agg(
         r(F.min_by("open", "trade_date")).alias("open"), r(F.max("high")).alias("high"), r(F.min("low")).alias("low"), r(F.max_by("close", "trade_date")).alias("close"),
@@ -386,7 +386,7 @@ def rolling_median_prior(spark, folder):
 
 
 def ma_states(spark: SparkSession, folder: str, periods: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """Bars times periods with the mean of the period's earlier closes, the level the close would have to cross."""
+    """Bars times periods with the mean of the period's earlier closes, the level the close would have to cross."""
     spec = by_symbol()
     bars = daily_bars(spark, folder)
     prior = [F.struct(F.lit(p).alias("period"), W.complete(F.sum, F.col("close"), spec, -(p - 1), -1).alias("prior")) for p in periods]
@@ -398,7 +398,7 @@ def ma_states(spark: SparkSession, folder: str, periods: tuple[int, ...] = (5, 1
 
 @query
 def ma_state_touch(spark, folder):
-    """State per bar and period, and the touches of the 20 bars before."""
+    """State per bar and period, and the touches of the 20 bars before."""
     s = ma_states(spark, folder)
     spec = W.along(["symbol", "period"], "trade_date")
     before = F.sum(F.when(F.col("touched"), 1).otherwise(0)).over(spec.rowsBetween(-20, -1))
@@ -711,7 +711,7 @@ def equal_date_weights(spark, folder):
 
 @query
 def forward_folds(spark, folder):
-    """Five blocks of the calendar, each tested on all days up to 10 before it."""
+    """Five blocks of the calendar, each tested on all days up to 10 before it."""
     c = W.calendar_index(daily_bars(spark, folder), "trade_date").select("trade_date", "index")
     n = c.agg(F.max("index").alias("n"))
     fold = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("fold")
@@ -726,7 +726,7 @@ def forward_folds(spark, folder):
 
 @query
 def scalar_guards(spark, folder):
-    """P1–P7, F1–F3, F7, F12, F13."""
+    """Guards over trades."""
     t = table(spark, folder, "lineitem")
     return t.select(
         "l_orderkey", "l_linenumber", "l_partkey", r(safe_ln(F.col("l_discount"))).alias("ln_discount"), r(safe_ratio(F.col("l_tax"), F.col("l_discount"))).alias("tax_ratio"),
@@ -736,7 +736,7 @@ def scalar_guards(spark, folder):
 
 @query
 def reason_code_mask(spark, folder):
-    """P13–P17."""
+    """P13–P15, P17."""
     t = table(spark, folder, "lineitem")
     thin, cheap, taxed = F.col("l_quantity") < 5, F.col("l_discount") > 0.08, F.col("l_tax") > 0.06
     why = first_reason((thin, "thin"), (cheap, "discounted"), (taxed, "taxed"))
@@ -746,7 +746,7 @@ def reason_code_mask(spark, folder):
 
 @query
 def pk_audit(spark, folder):
-    """Q1, Q2: repeated keys of every table that should have none."""
+    """Q1: repeated keys of the trades, with an example; ``key_audit`` looks at every table."""
     t = table(spark, folder, "lineitem")
     return t.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("l_partkey").alias("example")).where("n > 1")
 
@@ -761,7 +761,7 @@ def ohlc_audit(spark, folder):
 
 @query
 def reconcile_daily_intraday(spark, folder):
-    """Q5, Q13: two ways of a symbol-day's amount, by line and by order, within a cent."""
+    """Q5: two ways of a symbol-day's amount, by line and by order, within a cent."""
     t = table(spark, folder, "lineitem").withColumn("day", F.to_date("l_shipdate"))
     a = t.groupBy("l_suppkey", "day").agg(F.sum("l_extendedprice").alias("a"))
     b = t.groupBy("l_suppkey", "day", "l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("o")).groupBy("l_suppkey", "day").agg(F.sum("o").alias("b"))
@@ -770,7 +770,7 @@ def reconcile_daily_intraday(spark, folder):
 
 @query
 def tri_state_invariants(spark, folder):
-    """Q4, Q12: combinations of the flags of the status table, unknown apart from false."""
+    """Q12: combinations of the flags of the status table, unknown apart from false."""
     t = table(spark, folder, "security_status")
     word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c)
     return t.groupBy(word("is_st"), word("is_suspended"), word("is_delisted")).agg(F.count("*").alias("n"))
@@ -778,7 +778,7 @@ def tri_state_invariants(spark, folder):
 
 @query
 def gap_inventory(spark, folder):
-    """Q9, Q10, Q17: open days of a symbol's span on which it has no bar."""
+    """Q17: the number of open days of a symbol's span on which it has no bar; ``gap_days`` lists them."""
     b = day_index(daily_bars(spark, folder)).select("symbol", "index")
     spans = b.groupBy("symbol").agg(F.min("index").alias("a"), F.max("index").alias("z"), F.count("*").alias("bars"))
     return spans.select("symbol", (F.col("z") - F.col("a") + 1 - F.col("bars")).alias("missing"), "bars")
@@ -819,7 +819,7 @@ def json_props_agg(spark, folder):
 
 @query
 def event_outcomes(spark, folder):
-    """Entry at the next bar's open, exit at the close 1, 3 and 5 bars on; null where the bars aren't there."""
+    """Entry at the next bar's open, exit at the close 1, 3 and 5 bars on; null where the bars aren't there."""
     spec = by_symbol()
     named = daily_bars(spark, folder).withColumns({"_entry": F.lead("open", 1).over(spec), **{f"_exit{h}": F.lead("close", 1 + h).over(spec) for h in (1, 3, 5)}})
     return named.select("symbol", "trade_date", *[r(safe_ratio(F.col(f"_exit{h}"), F.col("_entry")) - 1).alias(f"return{h}") for h in (1, 3, 5)])
@@ -847,7 +847,7 @@ def flagship_topk_momentum(spark, folder):
 
 @query
 def intraday_features(spark, folder):
-    """A symbol-day's range, drawdown, concentration of amount and slope over its session bars."""
+    """A symbol-day's range, drawdown, concentration of amount and slope over its session bars."""
     from tidemark.functions import normalize as N
     from tidemark.operators.counting import counting
 
@@ -876,7 +876,7 @@ def seed_stability(spark, folder):
 
 @query
 def ensemble_rank(spark, folder):
-    """The mean of two percentile ranks within the day, unknown values left out."""
+    """The mean of two percentile ranks within the day, unknown values left out."""
     m = momentum(spark, folder).where("momentum is not null")
     n = F.count("*").over(Window.partitionBy("trade_date"))
     score = (W.average_rank(F.col("momentum"), "trade_date") + W.average_rank(F.col("amount"), "trade_date")) / (2 * n)
