@@ -3,14 +3,14 @@
 import pytest
 
 from compare import same
-from tidemark.plans import audits, audits_sql, dealt, dealt_sql, evaluation, evaluation_sql, market, market_sql, reference, reference_sql, repair, repair_sql
+from tidemark.plans import audits, audits_sql, dealt, dealt_sql, evaluation, evaluation_sql, market, market_sql, reference, reference_sql, repair, repair_sql, stores, stores_sql
 
-CORE = {k: f for m in (dealt, reference, market, audits, repair, evaluation) for k, f in m.QUERIES.items()}
-SQL = {k: s for m in (dealt_sql, reference_sql, market_sql, audits_sql, repair_sql, evaluation_sql) for k, s in m.ORACLES.items()}
+CORE = {k: f for m in (dealt, reference, market, audits, repair, evaluation, stores) for k, f in m.QUERIES.items()}
+SQL = {k: s for m in (dealt_sql, reference_sql, market_sql, audits_sql, repair_sql, evaluation_sql, stores_sql) for k, s in m.ORACLES.items()}
 
 
 def test_no_name_twice():
-    assert len(CORE) == sum(len(m.QUERIES) for m in (dealt, reference, market, audits, repair, evaluation))
+    assert len(CORE) == sum(len(m.QUERIES) for m in (dealt, reference, market, audits, repair, evaluation, stores))
     assert set(SQL) <= set(CORE)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -27,6 +28,41 @@ def overlapping(shards: Iterable[dict], start: str, end: str) -> list[dict]:
     return kept
 
 
+def register_views(spark: SparkSession, folder: str, days: dict[str, str | None], start: str, end: str, prefix: str = "") -> list[str]:
+    """S3: a temporary view of each table, bounded to [start, end] by its column of dates (``YYYY-MM-DD``), unbounded where that is None.
+
+    Views are plans: nothing is read until a query asks, and the bounds reach the scan.
+    """
+    names = []
+    for name, day in days.items():
+        rows = table(spark, folder, name)
+        (rows if day is None else rows.where(F.col(day).between(start, end))).createOrReplaceTempView(f"{prefix}{name}")
+        names.append(f"{prefix}{name}")
+    return names
+
+
+def batches(df: DataFrame, rows: int = 65536) -> Iterator[pa.RecordBatch]:
+    """The result as Arrow batches of at most ``rows`` rows, one partition at a time: the driver never holds more than one partition's batches."""
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, rows):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_batch(part.slice(at, rows))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    for row in df.mapInArrow(pack, "batch binary").toLocalIterator():
+        yield from pa.ipc.open_stream(row.batch)
+
+
+def picked(df: DataFrame, column: str, values: Iterable) -> DataFrame:
+    """Rows whose ``column`` is in a list that the caller holds, joined as a small table; repeated and null values change nothing."""
+    kind = df.schema[column].dataType
+    wanted = df.sparkSession.createDataFrame([(v,) for v in {*values} - {None}], f"`{column}` {kind.simpleString()}")
+    return df.join(wanted, column, "left_semi")
+
+
 def line_order() -> Column:
     """Order, line and part as one number in their order, by which prices aggregate without a sort: lines below 10^5, parts below 10^15."""
     whole = lambda c: F.col(c).cast("decimal(18,0)")
