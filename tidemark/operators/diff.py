@@ -10,15 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def blocks(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], buckets: int = 1024) -> DataFrame:
+def bucket_count(*tables: DataFrame, bucket_bytes: int = 1 << 20, least: int = 1024) -> int:
+    """One bucket for each megabyte by the optimiser's estimate of the tables, ``least`` at least: no job runs for it."""
+    size = sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables)
+    return max(least, min(size // bucket_bytes, 2**31 - 1))
+
+
+def blocks(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], buckets: int | None = None) -> DataFrame:
     """(bucket, word, in_left, in_right, key_at, left_at, right_at): one row per word of 64 ordinals.
 
     ``in_left`` and ``in_right`` are presence words; the arrays hold keys and fields by the bit's number.
     A bucket is a hash of the key, its ordinals are dense ranks in key order: the same for both copies
-    without a join. Ordinals depend on the keys alone, so a lost task gives the same ones again. Raise
-    ``buckets`` with the data: a bucket is the unit that one task sorts (a million keys in each of 1,024
-    make a billion). Each copy must have one row per key (see ``counting``); null keys compare as equal.
+    without a join. Ordinals depend on the keys alone, so a lost task gives the same ones again. A bucket is the unit that one
+    task sorts: by default there are as many as the tables' size asks for (``bucket_count``), and their number changes no
+    result. Each copy must have one row per key (see ``counting``); null keys compare as equal.
     """
+    buckets = buckets or bucket_count(left, right)
     tagged = [
         df.select(F.struct(*keys).alias("key"), F.struct(*fields).alias("fields"), F.lit(side).alias("side"))
         for side, df in enumerate((left, right))
@@ -39,7 +46,7 @@ def blocks(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]
     )
 
 
-def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], buckets: int = 1024) -> DataFrame:
+def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], buckets: int | None = None) -> DataFrame:
     """(keys, kind, left, right): rows on one side only and rows whose fields differ.
 
     ``kind`` is ``right_missing``, ``left_missing`` or ``both`` (one row for every key in both copies whose
