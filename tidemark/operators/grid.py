@@ -68,13 +68,14 @@ def _factors_of(periods: np.ndarray, model: dict, start: np.ndarray) -> np.ndarr
     return np.stack([model.get(int(p), start) for p in names])[inverse]
 
 
-def fit_slot_factors(matrix: DataFrame, period: str, slots: int, rank: int = 2, iterations: int = 3, ridge: float = 0.05, batch: int = 4096) -> dict:
+def fit_slot_factors(matrix: DataFrame, period: str, slots: int, rank: int = 2, iterations: int = 3, ridge: float = 0.05, batch: int = 4096, tolerance: float = 0.01) -> dict:
     """{period: array (slots, rank)}: the slots' factors, one small table for each period.
 
     Each pass sums the normal equations of all rows: within a task first, then by (period, place) in the
     JVM. What comes to the driver is slots * rank numbers for each period: it grows with the calendar,
     not with the readings (48 * 2 doubles for each of 10,000 days are 8 MB). A slot without readings
-    keeps zero factors.
+    keeps zero factors. Passes end when the space that the factors span turns by less than ``tolerance`` (the mean over periods of the
+    sine of the angle), after ``iterations`` at the latest.
     """
     start = _start(slots, rank)
     pairs = [(k, l) for k in range(rank) for l in range(k, rank)]
@@ -106,7 +107,7 @@ def fit_slot_factors(matrix: DataFrame, period: str, slots: int, rank: int = 2,
             parts.select("period", F.posexplode("sums").alias("place", "x")).groupBy("period", "place").agg(F.sum("x").alias("x"))
             .groupBy("period").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("s")).select("period", "s.x")
         )
-        model = {}
+        before, model = model, {}
         for row in summed.collect():  # one row per period
             s = np.array(row.x).reshape(slots, width)
             gram = np.zeros((slots, rank, rank))
@@ -119,9 +120,21 @@ def fit_slot_factors(matrix: DataFrame, period: str, slots: int, rank: int = 2,
             norm = np.linalg.norm(v, axis=0)
             model[row.period] = v * np.where(norm > 0, np.linalg.norm(start, axis=0) / np.where(norm > 0, norm, 1), 0)
         shared.unpersist()
+        if before and _turn(before, model) < tolerance:
+            break
     return model
 
 
+def _turn(before: dict, after: dict) -> float:
+    """The mean over periods of the sine of the largest angle between the spaces of two factor tables, which is what filling depends on."""
+    turns = []
+    for period, v in after.items():
+        a, b = (np.linalg.qr(x)[0] for x in (before.get(period, np.zeros_like(v)), v))
+        least = np.linalg.svd(a.T @ b, compute_uv=False).min()
+        turns.append(float(np.sqrt(max(0.0, 1 - least * least))))
+    return float(np.mean(turns)) if turns else 0.0
+
+
 def fill_matrix(matrix: DataFrame, source: str, period: str, slots: int, model: dict, ridge: float = 0.05, batch: int = 4096) -> DataFrame:
     """(source, period, cells, filled, status): ``status`` is 0 observed, 1 filled, 2 unsupported, per slot.
 

@@ -67,6 +67,29 @@ def overlaps(intervals: DataFrame, key: str, row_id: str, start: str, end: str,
     return a.join(b, met & over & once).select(F.col("a.k").alias(key), F.col("a.i").alias("id_a"), F.col("b.i").alias("id_b"))
 
 
+def overlap_counts(intervals: DataFrame, key: str, row_id: str, start: str, end: str, period: int = 64) -> DataFrame:
+    """J11 without its pairs: (key, id, overlaps): how many other intervals of its key each one overlaps, ends included.
+
+    These are the starts up to its end less the ends before its start. Both are running counts over the points of a key, taken within
+    blocks of ``period`` units and offset by the counts of the blocks before: no pair is formed and a hot key is sorted block by
+    block. Ids are unique; an end before its start counts as the start.
+    """
+    e = F.greatest(F.col(end), F.col(start))
+    point = lambda t, rank: F.struct(t.cast("bigint").alias("t"), F.lit(rank).alias("rank"))
+    points = intervals.select(F.col(key).alias("k"), F.col(row_id).alias("i"), F.explode(F.array(point(F.col(start), 0), point(e, 1))).alias("p")).select("k", "i", "p.t", "p.rank")
+    points = points.where("t is not null").withColumn("b", F.floor(F.col("t") / period).cast("bigint"))
+    opened, closed = F.when(F.col("rank") == 0, 1).otherwise(0), F.when(F.col("rank") == 1, 1).otherwise(0)
+    sums = points.groupBy("k", "b").agg(F.sum(opened).alias("o"), F.sum(closed).alias("c"))
+    before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("k", "b", F.coalesce(F.sum("o").over(before), F.lit(0)).alias("o0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
+    upto = Window.partitionBy("k", "b").orderBy("t", "rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = points.withColumns({"o": F.sum(opened).over(upto), "c": F.sum(closed).over(upto)})
+    same = counted["k"].eqNullSafe(sums["k"]) & (counted["b"] == sums["b"])
+    placed = counted.join(sums, same).select(counted["k"], "i", "rank", (F.col("o") + F.col("o0")).alias("o"), (F.col("c") + F.col("c0")).alias("c"))
+    g = placed.groupBy("k", "i").agg(F.max(F.when(F.col("rank") == 1, F.col("o"))).alias("o"), F.max(F.when(F.col("rank") == 0, F.col("c"))).alias("c"))
+    return g.select(F.col("k").alias(key), F.col("i").alias(row_id), (F.col("o") - F.col("c") - 1).alias("overlaps"))
+
+
 def nearest_controls(signals: DataFrame, pool: DataFrame, exact: list[str], row_id: str, measure: str, band: float, k: int) -> DataFrame:
     """Each signal's ``k`` nearest pool rows with equal ``exact`` columns, another id and a ratio of ``measure`` within ``band``.
 

@@ -170,6 +170,12 @@ def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def p6_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cell's mark, with the close of those that were read: what doesn't depend on the factorisation."""
+    return five_minute_grid(spark, folder).select("symbol", N.day_text(F.col("day")).alias("trade_date"), "slot", "status", F.when(F.col("status") == "observed", F.col("value")).alias("close"))
+
+
 @query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return five_minute_grid(spark, folder).where("status != 'observed'").select("symbol", N.day_text(F.col("day")).alias("trade_date"), "slot")

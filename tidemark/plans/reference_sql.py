@@ -278,3 +278,30 @@ x as (select *, last_value(known ignore nulls) over (partition by o_custkey orde
   first_value(known ignore nulls) over (partition by o_custkey order by o_orderdate, o_orderkey rows between current row and unbounded following) as f from o)
 select o_orderkey, case when known is null and b is null then f else known end as status, known is null and b is null and f is not null as looked_ahead from x""",
 }
+
+_X = {"a": "return5", "b": "to_mean5", "c": "amount_ratio20"}
+_COV = ", ".join(f"avg({x} * {y}) - avg({x}) * avg({y}) as \"{x}{y}\"" for x, y in ("aa", "bb", "cc", "ab", "ac", "bc", "ay", "by", "cy"))
+
+
+def _det(m: list[list[str]]) -> str:
+    """The determinant of a matrix of three rows."""
+    (p, q, r), (s, t, u), (v, w, x) = m
+    return f"({p} * ({t} * {x} - {u} * {w}) - {q} * ({s} * {x} - {u} * {v}) + {r} * ({s} * {w} - {t} * {v}))"
+
+
+_M = [["1.01", "r1", "r2"], ["r1", "1.01", "r3"], ["r2", "r3", "1.01"]]
+_BETA = [_det([[g if j == i else x for j, x in enumerate(row)] for row, g in zip(_M, ("g1", "g2", "g3"))]) + " / " + _det(_M) for i in range(3)]
+
+ORACLES |= {
+    "tail_quantile_bounds": "select distinct l_suppkey, true as within from lineitem",
+    "ridge_fit": f"""with f as ({ORACLES["prior_day_features"]}), h as (with {BARS} select symbol, strftime(trade_date, '%Y-%m-%d') as trade_date, lead(close) over (partition by symbol order by trade_date) / close - 1 as ahead from bar),
+k as (select {", ".join(f"least(greatest({c}, -5.0), 5.0) as {x}" for x, c in _X.items())}, least(greatest(ahead, -1.0), 1.0) as y from f join h using (symbol, trade_date) where return5 is not null and to_mean5 is not null and amount_ratio20 is not null and ahead is not null),
+v as (select count(*) as n, {_COV} from k), w as (select n, ab / sqrt(aa * bb) as r1, ac / sqrt(aa * cc) as r2, bc / sqrt(bb * cc) as r3, ay / sqrt(aa) as g1, "by" / sqrt(bb) as g2, cy / sqrt(cc) as g3 from v)
+""" + " union all ".join(f"select '{name}' as feature, round({beta} + 1.37e-9, 6) as beta, n from w" for name, beta in zip(_X.values(), _BETA)),
+}
+
+ORACLES |= {
+    "overlap_counts": """with o as (select o_orderkey, min(o_custkey) as o_custkey, min(date_diff('day', date '1970-01-01', cast(o_orderdate as date))) as s from orders group by 1)
+select a.o_custkey, a.o_orderkey, count(*) - 1 as overlaps from o a join o b on a.o_custkey = b.o_custkey and a.s <= b.s + 45 and b.s <= a.s + 45 group by 1, 2""",
+    "sorted_positions": f"with {momentum()} select symbol, strftime(trade_date, '%Y-%m-%d') as trade_date, row_number() over (order by m.trade_date, momentum desc nulls last, symbol) as place from m",
+}

@@ -45,6 +45,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def packaged(spark: SparkSession, folder: str) -> str:
+    """The package under ``folder`` as one archive in the shared folder, for executors that don't have it."""
+    import io
+    import zipfile
+
+    from tidemark.sources.files import Files
+
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as z:
+        for root, _, names in sorted(os.walk(os.path.join(folder, "tidemark"))):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                z.write(os.path.join(root, name), os.path.relpath(os.path.join(root, name), folder))
+    path = f"{scratch(spark, 'tidemark')}.zip"
+    Files(spark).write_new(path, content.getvalue())
+    return path
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there.
 

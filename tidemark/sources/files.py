@@ -45,13 +45,14 @@ class Files:
         finally:
             stream.close()
 
-    def write_new(self, path: str, content: str) -> None:
+    def write_new(self, path: str, content: str | bytes) -> None:
         """A whole file under a name that must be free; raises if it is taken."""
+        data = content.encode() if isinstance(content, str) else content
         fs, p = self._at(path)
-        partial = self.jvm.org.apache.hadoop.fs.Path(f"{path}.partial-{hashlib.md5(content.encode()).hexdigest()}")
+        partial = self.jvm.org.apache.hadoop.fs.Path(f"{path}.partial-{hashlib.md5(data).hexdigest()}")
         stream = fs.create(partial, True)
         try:
-            stream.write(bytearray(content.encode()))
+            stream.write(bytearray(data))
         finally:
             stream.close()
         if fs.exists(p):
