@@ -4,7 +4,7 @@ For each period there is one matrix of sources by slots. All matrices are factor
 alternating least squares: a source's factors come from its own row, the slots' factors of a period from
 sums over its rows, so an iteration is one pass over the rows and one small aggregation. Observed
 cells stay exactly as they were read; a cell is filled only where both its row and its column hold
-observations; all others stay marked.
+observations, by the factors and the row's own residuals beside it; all others stay marked.
 """
 
 from __future__ import annotations
@@ -57,6 +57,21 @@ def _row_factors(logs: np.ndarray, mask: np.ndarray, v: np.ndarray, ridge: float
     return np.linalg.solve(gram, np.einsum("ns,nsk->nk", logs, v)[..., None])[..., 0]
 
 
+def _between(left: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """What the model leaves at observed cells, in a straight line between neighbours and level beyond the outer ones; 0 in rows without any."""
+    slots = left.shape[1]
+    at = np.broadcast_to(np.arange(slots), left.shape)
+    low = np.maximum.accumulate(np.where(mask, at, -1), axis=1)
+    high = np.minimum.accumulate(np.where(mask, at, slots)[:, ::-1], axis=1)[:, ::-1]
+    low, high = np.where(low < 0, high, low), np.where(high >= slots, low, high)
+    none = ~mask.any(1)
+    low, high = np.where(none[:, None], 0, low), np.where(none[:, None], 0, high)
+    rows = np.arange(len(left))[:, None]
+    share = np.where(high > low, (at - low) / np.maximum(high - low, 1), 0.0)
+    line = left[rows, low] * (1 - share) + left[rows, high] * share
+    return np.where(none[:, None], 0.0, line)
+
+
 def _start(slots: int, rank: int) -> np.ndarray:
     """Slot factors before the first iteration: Legendre polynomials from the first degree on, so that every run begins alike."""
     at = np.linspace(-1, 1, slots)
@@ -138,7 +153,8 @@ def _turn(before: dict, after: dict) -> float:
 def fill_matrix(matrix: DataFrame, source: str, period: str, slots: int, model: dict, ridge: float = 0.05, batch: int = 4096) -> DataFrame:
     """(source, period, cells, filled, status): ``status`` is 0 observed, 1 filled, 2 unsupported, per slot.
 
-    A cell is filled where its row has an observation and its column in that period has one in any source.
+    A cell is filled where its row has an observation and its column in that period has one in any source: by the factors, plus what
+    they leave unexplained at the row's observed neighbours, in a straight line between them.
     """
     start = _start(slots, 1)
     rank = next((v.shape[1] for v in model.values()), 1)
@@ -152,7 +168,8 @@ def fill_matrix(matrix: DataFrame, source: str, period: str, slots: int, model:
                 logs, mask, mean = _centred(raw)
                 v = _factors_of(one.column(1).to_numpy(zero_copy_only=False), shared.value, none)
                 u = _row_factors(logs, mask, v, ridge)
-                guess = np.exp(mean[:, None] + np.einsum("nk,nsk->ns", u, v))
+                model_logs = np.einsum("nk,nsk->ns", u, v)
+                guess = np.exp(mean[:, None] + model_logs + _between(logs - model_logs, mask))
                 column_seen = (v != 0).any(2) | mask
                 status = np.where(mask, 0, np.where(mask.any(1)[:, None] & column_seen, 1, 2)).astype(np.int8)
                 filled = np.where(status == 0, raw, guess)
