@@ -144,3 +144,33 @@ def test_aliases_and_normaliser(spark):
 def test_day_vector_of_one_bar(spark):
     r = day_vector(bars(spark, [1], slots=1), ["symbol", "day"], "slot", 24).first()
     assert r.n == 1 and r.last_5m_ret is None and r.realised_vol is None and r.pm_ret is None and r.high_time is None and r.top_share == 1.0
+
+
+def test_long_windows_are_what_frames_give(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(k, i, rng.choice([None, rng.gauss(0, 3), rng.gauss(0, 3), 2.0, -5.0])) for k in "ab" for i in range(120)] + [("flat", i, 7.25) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    spec, windows = W.along(["k"], "t"), (2, 3, 5, 8, 30)
+    fast = W.long_windows(df, spec, windows, {"mean": "v"}, {"sd": "v"}, {"hi": "v"}, {"lo": "v"})
+    slow = df.withColumns({f"{name}{n}": W.complete(agg, F.col("v"), spec, -(n - 1), 0) for n in windows for name, agg in (("mean", F.avg), ("sd", F.stddev_samp), ("hi", F.max), ("lo", F.min))})
+    by = lambda d: {(r.k, r.t): r.asDict() for r in d.collect()}
+    got, want = by(fast), by(slow)
+    assert set(got) == set(want)
+    for at, r in want.items():
+        for c, x in r.items():
+            assert (got[at][c] is None) == (x is None) and (x is None or got[at][c] == x or got[at][c] == pytest.approx(x, abs=1e-6))
+    assert sum(r["hi5"] is not None for r in want.values()) > 40
+
+
+def test_overlap_counts(spark):
+    import random
+
+    from tidemark.operators.joins import overlap_counts
+
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None]), i, (s := rng.randrange(300)), s + rng.choice([0, 1, 5, 90])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i int, s int, e int")
+    got = {r.i: r.overlaps for r in overlap_counts(df, "k", "i", "s", "e", 16).collect()}
+    assert got == {i: sum(1 for k2, j, s2, e2 in rows if k2 == k and j != i and s <= e2 and s2 <= e) for k, i, s, e in rows}

@@ -51,15 +51,13 @@ def whole_buckets(bars: DataFrame, keys: list[str], slot: str, expected: int) ->
 def rolling_features(bars: DataFrame, key: str, order: list[str], flow: str, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """(key, order, return_n, deviation_n, range_n, volatility_n, flow_ratio_n) for each window of ``n`` bars, over sessions.
 
-    A window that isn't complete and known gives null. All windows share one sort; names come before guards, so each is computed once.
+    A window that isn't complete and known gives null. All share one sort, and a row costs the same whatever the windows' lengths:
+    sums are differences of running sums, extremes are those of two overlapping stretches (``long_windows``).
     """
     spec = W.along([key], *order)
     lagged = bars.withColumns({f"_lag{n}": F.lag("close", n).over(spec) for n in (1, *windows)})
     logs = lagged.withColumn("_log", safe_ln(safe_ratio(F.col("close"), F.col("_lag1"))))
-    wide = logs.withColumns({
-        f"_{name}{n}": W.complete(agg, F.col(c), spec, -(n - 1), 0)
-        for n in windows for name, agg, c in (("mean", F.avg, "close"), ("high", F.max, "high"), ("low", F.min, "low"), ("sd", F.stddev_samp, "_log"), ("flow", F.avg, flow))
-    })
+    wide = W.long_windows(logs, spec, windows, means={"_mean": "close", "_flow": flow}, deviations={"_sd": "_log"}, highest={"_high": "high"}, lowest={"_low": "low"})
     over = lambda a, b: safe_ratio(F.col(a), F.when(F.col(b) > 0, F.col(b))) - 1
     return wide.select(key, *order, *[x for n in windows for x in (
         over("close", f"_lag{n}").alias(f"return_{n}"), over("close", f"_mean{n}").alias(f"deviation_{n}"), over(f"_high{n}", f"_low{n}").alias(f"range_{n}"),

@@ -20,6 +20,42 @@ def steps_ahead(keys: list[str], index: str, first: int, last: int) -> WindowSpe
     return Window.partitionBy(*keys).orderBy(index).rangeBetween(first, last)
 
 
+def long_windows(df: DataFrame, spec: WindowSpec, windows: tuple[int, ...], means: dict[str, str], deviations: dict[str, str], highest: dict[str, str], lowest: dict[str, str]) -> DataFrame:
+    """``df`` plus, for each window of ``n`` rows up to the row's own, ``name`` + n: means, sample deviations, largest and smallest
+    values of the named columns, null unless all ``n`` are known.
+
+    A sliding frame would visit each of its rows again for every row: here sums and counts are running ones less what they were
+    ``n`` rows before, and an extreme over ``n`` rows is that of the two stretches of a power of two that cover them, which are
+    built by doubling. Everything is a running sum or a lag over one sort.
+    """
+    columns = {*means.values(), *deviations.values(), *highest.values(), *lowest.values()}
+    running = spec.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {f"_cn_{c}": F.count(c).over(running) for c in columns} | {f"_cs_{c}": F.coalesce(F.sum(c).over(running), F.lit(0.0)) for c in {*means.values(), *deviations.values()}}
+    sums |= {f"_cq_{c}": F.coalesce(F.sum(F.col(c) * F.col(c)).over(running), F.lit(0.0)) for c in deviations.values()}
+    out = df.withColumns(sums)
+    out = out.withColumns({f"{c}_{n}": F.col(c) - F.lag(c, n, 0).over(spec) for c in sums for n in windows})
+    levels = {c: f"_x1_{c}" for c in (*highest.values(), *lowest.values())}
+    out = out.withColumns({name: F.col(c) for c, name in levels.items()})
+    both = [(c, F.greatest) for c in highest.values()] + [(c, F.least) for c in lowest.values()]
+    size = 1
+    while size * 2 <= max(windows):
+        out = out.withColumns({f"_x{size * 2}_{c}": join(F.col(f"_x{size}_{c}"), F.lag(f"_x{size}_{c}", size).over(spec)) for c, join in both})
+        size *= 2
+    half = {n: 1 << (n.bit_length() - 1) for n in windows}
+    known = lambda c, n, value: F.when(F.col(f"_cn_{c}_{n}") == n, value)
+    made = {}
+    for n in windows:
+        made |= {f"{name}{n}": known(c, n, F.col(f"_cs_{c}_{n}") / n) for name, c in means.items()}
+        for name, c in deviations.items():
+            spread = F.col(f"_cq_{c}_{n}") - F.col(f"_cs_{c}_{n}") * F.col(f"_cs_{c}_{n}") / n
+            made[f"{name}{n}"] = known(c, n, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1)))
+        for names, join in ((highest, F.greatest), (lowest, F.least)):
+            for name, c in names.items():
+                stretch = F.col(f"_x{half[n]}_{c}")
+                made[f"{name}{n}"] = known(c, n, join(stretch, F.lag(f"_x{half[n]}_{c}", n - half[n]).over(spec)) if n > half[n] else stretch)
+    return out.withColumns(made).select(*df.columns, *made)
+
+
 def rolling_median(column: Column, spec: WindowSpec, n: int) -> Column:
     """The median of the ``n`` rows before, null unless all are known."""
     frame = spec.rowsBetween(-n, -1)
