@@ -34,12 +34,11 @@ def long_windows(df: DataFrame, spec: WindowSpec, windows: tuple[int, ...], mean
     sums |= {f"_cq_{c}": F.coalesce(F.sum(F.col(c) * F.col(c)).over(running), F.lit(0.0)) for c in deviations.values()}
     out = df.withColumns(sums)
     out = out.withColumns({f"{c}_{n}": F.col(c) - F.lag(c, n, 0).over(spec) for c in sums for n in windows})
-    levels = {c: f"_x1_{c}" for c in (*highest.values(), *lowest.values())}
-    out = out.withColumns({name: F.col(c) for c, name in levels.items()})
-    both = [(c, F.greatest) for c in highest.values()] + [(c, F.least) for c in lowest.values()]
+    both = [("_hi", c, F.greatest) for c in highest.values()] + [("_lo", c, F.least) for c in lowest.values()]
+    out = out.withColumns({f"{way}1_{c}": F.col(c) for way, c, _ in both})
     size = 1
     while size * 2 <= max(windows):
-        out = out.withColumns({f"_x{size * 2}_{c}": join(F.col(f"_x{size}_{c}"), F.lag(f"_x{size}_{c}", size).over(spec)) for c, join in both})
+        out = out.withColumns({f"{way}{size * 2}_{c}": join(F.col(f"{way}{size}_{c}"), F.lag(f"{way}{size}_{c}", size).over(spec)) for way, c, join in both})
         size *= 2
     half = {n: 1 << (n.bit_length() - 1) for n in windows}
     known = lambda c, n, value: F.when(F.col(f"_cn_{c}_{n}") == n, value)
@@ -49,10 +48,10 @@ def long_windows(df: DataFrame, spec: WindowSpec, windows: tuple[int, ...], mean
         for name, c in deviations.items():
             spread = F.col(f"_cq_{c}_{n}") - F.col(f"_cs_{c}_{n}") * F.col(f"_cs_{c}_{n}") / n
             made[f"{name}{n}"] = known(c, n, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1)))
-        for names, join in ((highest, F.greatest), (lowest, F.least)):
+        for way, names, join in (("_hi", highest, F.greatest), ("_lo", lowest, F.least)):
             for name, c in names.items():
-                stretch = F.col(f"_x{half[n]}_{c}")
-                made[f"{name}{n}"] = known(c, n, join(stretch, F.lag(f"_x{half[n]}_{c}", n - half[n]).over(spec)) if n > half[n] else stretch)
+                stretch = f"{way}{half[n]}_{c}"
+                made[f"{name}{n}"] = known(c, n, join(F.col(stretch), F.lag(stretch, n - half[n]).over(spec)) if n > half[n] else F.col(stretch))
     return out.withColumns(made).select(*df.columns, *made)
 
 
