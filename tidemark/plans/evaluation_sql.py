@@ -35,7 +35,7 @@ select cast(year(trade_date) as int) as year, count(*) as days, {o('avg(both_ /
 from t group by 1, 2 having count(*) > 1""",
     "shrinking_runs": f"""with recursive {BARS}, x as materialized (select symbol, trade_date, volume, row_number() over w as i, coalesce(volume >= lag(volume) over w, true) as starts from bar window w as (partition by symbol order by trade_date)),
 run as (select symbol, i as first_i, trade_date as first_day, i, 1 as days, volume as least from x where starts union all select r.symbol, r.first_i, r.first_day, x.i, r.days + 1, least(r.least, x.volume) from run r join x on x.symbol = r.symbol and x.i = r.i + 1 and not x.starts)
-select symbol, strftime(first_day, '%Y-%m-%d') as first_day, max(days) as days, min(least) as least from run group by symbol, first_i, first_day having max(days) >= 3""",
+select symbol, strftime(first_day, '%Y-%m-%d') as first_day, cast(max(days) as bigint) as days, min(least) as least from run group by symbol, first_i, first_day having max(days) >= 3""",
     "yearly_walk_forward": f"""with {_KNOWN}, m2 as (select cast(year(trade_date) as int) as year, least(greatest(momentum, -1), 1) as x, least(greatest(ahead, -1), 1) as y from k),
 s as (select year, count(*) as n, sum(x) as x, sum(y) as y, sum(x * x) as xx, sum(x * y) as xy from m2 group by 1), b as (select year, sum(n) over w as n, sum(x) over w as x, sum(y) over w as y, sum(xx) over w as xx, sum(xy) over w as xy from s window w as (order by year rows between unbounded preceding and 1 preceding)),
 l as (select year, n, (n * xy - x * y) / nullif(n * xx - x * x, 0) as slope, x, y from b), f as (select year, n, slope, (y - slope * x) / n as level from l where slope is not null)
